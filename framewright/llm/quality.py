@@ -86,7 +86,9 @@ def plan_cascade(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     Returns ``{"rule", "rejects", "seconds"}`` in order.  Ties and an empty
     sample fall back to the rule's name, so the order is always total.
     """
-    sample = measures(smallest(docs.select(F.col(key), F.col(text).alias("text")), F.col(key), sample_rows)).cache()
+    few = smallest(docs.select(F.col(key), F.col(text).alias("text")), F.col(key), sample_rows).cache()
+    few.count()  # on its own: the limit then is a bounded top-k in each task, not a sort of all texts
+    sample = measures(few).cache()
     base = sample.count() or 1
     found = []
     for name, fails in rules().items():
@@ -94,6 +96,7 @@ def plan_cascade(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
         hits = sample.select(F.sum(fails.cast("int")).alias("n")).first()["n"] or 0
         found.append({"rule": name, "rejects": hits / base, "seconds": time.perf_counter() - began})
     sample.unpersist()
+    few.unpersist()
     return sorted(found, key=lambda r: (-r["rejects"] / max(r["seconds"], 1e-6), r["rule"]))
 
 
