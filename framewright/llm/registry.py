@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import packing, quality
+from framewright.llm import packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
