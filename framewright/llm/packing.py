@@ -42,7 +42,7 @@ LOCAL_PIECES = 65_536
 MAX_OPEN = 4_096
 #: Partitions whose leftovers meet in one partition of the next round.
 FAN_IN = 8
-#: Distinct words whose ids a worker keeps.
+#: Distinct words in a generation of the words whose ids a worker keeps; there are two.
 MEMO_WORDS = 500_000
 #: Characters of text that are encoded together; one longer text stands alone.
 GROUP_CHARS = 4_000_000
@@ -68,7 +68,9 @@ def _ids_of(path: str):
 
     This tokenizer never joins across white space, so a text's ids are those of
     its words one after the other, and each worker encodes a word once.  New
-    words are encoded together, a marker word between each two.
+    words are encoded together, a marker word between each two.  The tokenizer
+    lower-cases, so A-Z are lowered first; to words of ASCII alone the rest of
+    its normaliser does nothing, and they skip it.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _MEMO:
@@ -76,16 +78,19 @@ def _ids_of(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _MEMO[path] = (tokenizer, {})
-    tokenizer, memo = _MEMO[path]
-    encode = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-    mark = encode([_MARK.decode()])[0].ids
+        raw = Tokenizer.from_file(path)
+        raw.encode_special_tokens = True
+        raw.normalizer = None
+        _MEMO[path] = (tokenizer, raw, {}, {})
+    tokenizer, raw = _MEMO[path][:2]
+    mark = raw.encode(_MARK.decode(), add_special_tokens=False).ids
     split = f" {_MARK.decode()} "
 
-    def learn(new: list[bytes]) -> None:
+    def learn(memo: dict[bytes, bytes], new: list[bytes], by) -> None:
         plain = [w for w in new if _MARK not in w]
         groups = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
-        for group, got in zip(groups, encode([split.join([w.decode() for w in g]) for g in groups])):
+        joined = [split.join([w.decode() for w in g]) for g in groups]
+        for group, got in zip(groups, by.encode_batch_fast(joined, add_special_tokens=False)):
             found = np.array(got.ids, dtype="<u4")
             ends = [*np.flatnonzero(found == mark[0]).tolist(), len(found)]
             data, at = found.tobytes(), 0
@@ -93,16 +98,24 @@ def _ids_of(path: str):
                 memo[word] = data[4 * at : 4 * end]
                 at = end + 1
         odd = [w for w in new if _MARK in w]
-        for word, got in zip(odd, encode([w.decode() for w in odd])):
+        for word, got in zip(odd, by.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             memo[word] = np.array(got.ids, dtype="<u4").tobytes()
 
     def ids(texts: list[str | None]) -> list[bytes]:
-        split_ = [(t or "").encode().split() for t in texts]
-        new = {w for words in split_ for w in words if w not in memo}
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = {w for words in split_ for w in words}
-        learn(sorted(new))
+        memo, older = _MEMO[path][2:]
+        split_ = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        if len(memo) > MEMO_WORDS:  # words that come again move on to the next generation, the others go
+            memo, older = {}, memo
+            _MEMO[path] = (tokenizer, raw, memo, older)
+        new = []
+        for w in {w for words in split_ for w in words}:
+            if w not in memo:
+                if w in older:
+                    memo[w] = older[w]
+                else:
+                    new.append(w)
+        learn(memo, [w for w in new if w.isascii()], raw)
+        learn(memo, [w for w in new if not w.isascii()], tokenizer)
         return [b"".join([memo[w] for w in words]) for words in split_]
 
     return ids
