@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import shared_dir, table
+from framewright.llm.wordhash import coded, groups
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,12 +46,19 @@ MAX_OPEN = 4_096
 FAN_IN = 8
 #: Distinct words in a generation of the words whose ids a worker keeps; there are two.
 MEMO_WORDS = 500_000
-#: Characters of text that are encoded together; one longer text stands alone.
-GROUP_CHARS = 4_000_000
 
 ITEM = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>"
 BIN = f"sequence_id bigint, fill bigint, done boolean, items array<{ITEM}>"
 
+_ARROW = pa.schema(
+    [
+        ("sequence_id", pa.int64()),
+        ("fill", pa.int64()),
+        ("done", pa.bool_()),
+        ("items", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))),
+    ]
+)
+
 _MEMO: dict[str, tuple] = {}
 
 
@@ -64,7 +73,7 @@ _MARK = b"\x01"
 
 
 def _ids_of(path: str):
-    """A function texts -> ids of each as little-endian unsigned 32-bit bytes.
+    """A function texts -> ids of each as an array of little-endian unsigned 32-bit numbers.
 
     This tokenizer never joins across white space, so a text's ids are those of
     its words one after the other, and each worker encodes a word once.  New
@@ -101,14 +110,14 @@ def _ids_of(path: str):
         for word, got in zip(odd, by.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             memo[word] = np.array(got.ids, dtype="<u4").tobytes()
 
-    def ids(texts: list[str | None]) -> list[bytes]:
+    def ids(texts: pa.Array) -> Iterator[np.ndarray]:
+        codes, offsets, distinct = coded(texts, lower=True)
         memo, older = _MEMO[path][2:]
-        split_ = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         if len(memo) > MEMO_WORDS:  # words that come again move on to the next generation, the others go
             memo, older = {}, memo
             _MEMO[path] = (tokenizer, raw, memo, older)
         new = []
-        for w in {w for words in split_ for w in words}:
+        for w in distinct:
             if w not in memo:
                 if w in older:
                     memo[w] = older[w]
@@ -116,7 +125,13 @@ def _ids_of(path: str):
                     new.append(w)
         learn(memo, [w for w in new if w.isascii()], raw)
         learn(memo, [w for w in new if not w.isascii()], tokenizer)
-        return [b"".join([memo[w] for w in words]) for words in split_]
+        found = [memo[w] for w in distinct]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), dtype="<u4")
+        for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            c = codes[first:last]
+            n = sizes[c]
+            yield flat[np.repeat(starts[c] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
     return ids
 
@@ -177,37 +192,31 @@ def _first(level: int) -> int:
     return (level << 56) | ((context.partitionId() if context else 0) << 28)
 
 
-def pieces_of(texts: list[str | None], ids, capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, piece, start, length, crc32) for each piece of each text, some texts at a time."""
-    end, row = END_ID.to_bytes(4, "little"), 0
-    while row < len(texts):
-        last, size = row, 0
-        while last < len(texts) and (last == row or size < GROUP_CHARS):
-            size += len(texts[last] or "")
-            last += 1
-        for got in ids(texts[row:last]):
-            got += end
-            for piece, at in enumerate(range(0, len(got), 4 * capacity)):
-                part = got[at : at + 4 * capacity]
-                yield row, piece, at // 4, len(part) // 4, zlib.crc32(part)
-            row += 1
+def pieces_of(texts: pa.Array, ids, capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, piece, start, length, crc32) for each piece of each text."""
+    end = np.array([END_ID], dtype="<u4")
+    for first, part in groups(texts):
+        for row, got in enumerate(ids(part), first):
+            data = np.concatenate([got, end]).tobytes()
+            for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                cut = data[at : at + 4 * capacity]
+                yield row, piece, at // 4, len(cut) // 4, zlib.crc32(cut)
 
 
 def _round_zero(path: str, capacity: int, slack: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, first, waiting = _ids_of(path), _first(0), []
 
         def flush():
             nonlocal first, waiting
             out = _packed(waiting, capacity, slack, first, False)
             first, waiting = first + len(out), []
-            return out
+            return pa.RecordBatch.from_pandas(out, schema=_ARROW, preserve_index=False)
 
-        for pdf in batches:
-            keys = pdf["doc_id"].tolist()
-            for row, piece, start, length, crc in pieces_of(pdf["text"].tolist(), ids, capacity):
-                key = None if pd.isna(keys[row]) else int(keys[row])
-                waiting.append((length, [{"doc_id": key, "piece": piece, "start": start, "length": length, "ids_crc32": crc}]))
+        for batch in batches:
+            keys = batch.column("doc_id").to_pylist()
+            for row, piece, start, length, crc in pieces_of(batch.column("text"), ids, capacity):
+                waiting.append((length, [{"doc_id": keys[row], "piece": piece, "start": start, "length": length, "ids_crc32": crc}]))
                 if len(waiting) >= LOCAL_PIECES:
                     yield flush()
         if waiting:
@@ -235,7 +244,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     root = shared_dir(spark)
     path = tokenizer_path or default_tokenizer()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source.mapInPandas(_round_zero(path, capacity, slack), BIN).write.partitionBy("done").parquet(f"{root}/0")
+    source.mapInArrow(_round_zero(path, capacity, slack), BIN).write.partitionBy("done").parquet(f"{root}/0")
     schema = f"sequence_id bigint, fill bigint, items array<{ITEM}>, done boolean"
     read = lambda level: spark.read.schema(schema).parquet(f"{root}/{level}")
     parts, level, finished = source.rdd.getNumPartitions(), 0, []

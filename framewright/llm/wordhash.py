@@ -1,14 +1,20 @@
-"""64-bit hashes of the words of texts, one dictionary lookup a word."""
+"""Words of many texts as codes into their distinct words, and hashes of words.
+
+Arrow splits and codes the words of a batch, so Python sees each distinct word
+of a batch once, however often it occurs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Distinct words whose hashes a worker keeps.
-MEMO_WORDS = 600_000
-
-_MEMO: dict[bytes, int] = {}
+#: Bytes of text that are coded together; one longer text stands alone.
+GROUP_BYTES = 12_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,20 +28,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    """Hashes of words, in order."""
-    try:
-        return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_MEMO) > MEMO_WORDS:
-            _MEMO.clear()
-        for w in set(words):
-            if w not in _MEMO:
-                _MEMO[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
-
-
-def words(text: str | None, lower: bool = False) -> list[bytes]:
-    r"""The words ``[^\x20\x09-\x0D]+`` as UTF-8; ``lower`` maps A-Z only."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return (data.lower() if lower else data).split()
+def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) in runs of about ``most`` bytes; nulls become empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + most, side="right")) - 1)
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def coded(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    r"""Words ``[^\x20\x09-\x0D]+`` of texts without nulls.
+
+    Returns the code of each word in order, the first word of each text (one
+    entry more than texts), and the distinct words as UTF-8.  ``lower`` maps
+    A-Z only.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0] if len(offsets) else 0
+    keep = np.asarray(pc.binary_length(flat)) > 0
+    before = np.concatenate([[0], np.cumsum(keep)])
+    one = flat.filter(pa.array(keep)).dictionary_encode()
+    one = one.combine_chunks() if isinstance(one, pa.ChunkedArray) else one
+    return one.indices.to_numpy(zero_copy_only=False).astype(np.int64), before[offsets], one.dictionary.cast(pa.large_binary()).to_pylist()
+
+
+def hashes(distinct: list[bytes]) -> np.ndarray:
+    """64-bit hashes of distinct words; index them with the codes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
