@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import packing, quality, toxicity
+from framewright.llm import minhash, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
