@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import minhash, packing, quality, toxicity
+from framewright.llm import minhash, packing, pii, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_substring_dedup": substring.op4_substring_dedup,
+        "op6_pii_surrogates": pii.op6_pii_surrogates,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
