@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import minhash, packing, pii, quality, substring, toxicity
+from framewright.llm import covertree, langid, minhash, packing, pii, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": langid.op1_language_id,
+        "op3_embedding_near_dedup": covertree.op3_embedding_near_dedup,
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op6_pii_surrogates": pii.op6_pii_surrogates,
         "op7_quality_rules": quality.op7_quality_rules,
@@ -22,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_embedding_near_dedup": covertree.OP3_SQL,
         "op7_quality_rules": quality.OP7_SQL,
     }
