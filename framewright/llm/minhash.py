@@ -6,13 +6,15 @@
    them.  Empty buckets borrow from the first filled one in a fixed order.
 2. Documents with equal sets are one class, its smallest id stands for it.
 3. Bands of registers give keys; classes that share a key are candidates.  Each
-   key's members are first paired with its smallest member only, so a group of
-   n near copies gives about n pairs, not their square.
+   key's members are first paired with two of them only, the smallest and the
+   one that meets most others (the likely source of copies), so a group of n
+   near copies gives about n pairs, not their square.
 4. A pair whose collision-corrected estimate of the Jaccard index could reach
    the threshold is verified on both full sets.
 5. Members of a key that are still in different components after that are
-   paired with each other component's members of the same key, and verified
-   the same way, so no link between components is lost.
+   paired with each other component's members of the same key where sizes and
+   one-bit sketches of the registers allow the threshold, and verified the same
+   way, so no link between components is lost.
 
 With 51 bands of 5 registers a pair at the threshold 0.8 is missed with
 probability 1.6e-9.  Defined results: null and empty texts have an empty set,
@@ -104,6 +106,17 @@ def estimated(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (float((a == b).mean()) - chance) / (1 - chance))
 
 
+def sketch(register: np.ndarray) -> np.ndarray:
+    """The low bits of the registers: unlike registers differ in half of them."""
+    return np.packbits((register & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sketch_limit(percent: int) -> int:
+    """Bits that sketches of sets at the threshold differ in at most, MARGIN standard errors above the mean."""
+    p = (1 - percent / 100) / 2
+    return int(np.ceil(_BUCKETS * p + MARGIN * np.sqrt(_BUCKETS * p * (1 - p))))
+
+
 def _profiles(size: int, full: bool):
     """Map batches (doc_id, text) to sets; ``full``: with registers and set, else with band keys."""
 
@@ -111,7 +124,7 @@ def _profiles(size: int, full: bool):
         for batch in batches:
             keys = batch.column("doc_id")
             for first, part in groups(batch.column("text")):
-                n, low, high, bands, regs, sets = [], [], [], [], [], []
+                n, low, high, bands, sketches, regs, sets = [], [], [], [], [], [], []
                 for found in shingle_sets(part, size):
                     n.append(len(found))
                     register = registers(found) if len(found) else np.zeros(0, np.uint16)
@@ -123,12 +136,13 @@ def _profiles(size: int, full: bool):
                             low.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(1))).astype(np.int64)) if len(found) else 0)
                             high.append(int(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)) if len(found) else 0)
                         bands.append(band_keys(register) if len(found) else np.zeros(0, np.int64))
+                        sketches.append(sketch(register).tolist() if len(found) else [])
                 ids = keys.slice(first, len(part))
                 if full:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "registers", "shingles"])
                 else:
                     lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32), np.concatenate(bands))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), lists], names=["doc_id", "n_shingles", "low", "high", "bands"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), lists, pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "low", "high", "bands", "sketch"])
 
     return run
 
@@ -177,7 +191,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     of ``size``-word shingles; a component is named after its smallest id.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(source.mapInArrow(_profiles(size, False), "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>"))
+    seen = written(source.mapInArrow(_profiles(size, False), "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, sketch array<bigint>"))
     some = seen.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
     member = some.select("doc_id", "n_shingles", "low", "high").join(classes, ["n_shingles", "low", "high"]).select("doc_id", "rep")
@@ -186,22 +200,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     # An id stands for its class once, however many equal rows there are.
     reps = some.join(classes.select("n_shingles", "low", "high", F.col("rep").alias("doc_id")), ["n_shingles", "low", "high", "doc_id"], "left_semi")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).where("lead < most").select("key", "lead")
-    members = written(keyed.join(shared, "key").select("key", "lead", "rep").distinct())
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most"), F.count("*").alias("n")).where("lead < most").select("key", "lead", "n")
+    members = written(keyed.join(shared, "key").distinct())
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     profiles = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(_profiles(size, True), "doc_id bigint, registers binary, shingles binary"))
 
-    first = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    # The text that copies were made from shares its keys with most of them: the member met most often.
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    centre = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("r"))).alias("best")).select("key", (-F.col("best.r")).alias("centre"))
+    ends = [members.select(F.col("lead").alias("x"), F.col("rep").alias("y")), members.join(centre, "key").select(F.col("centre").alias("x"), F.col("rep").alias("y"))]
+    first = written(ends[0].union(ends[1]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = written(_links(first, profiles, percent))
     found = components(links)
 
-    # Keys that still hold several components: their other pairs, unless seen above.
-    place = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "lead", "rep", F.coalesce("component", "rep").alias("c"))
+    # Keys that still hold several components: their other pairs that sizes and one-bit sketches allow.
+    place = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     place = written(place)
-    mixed = place.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("key")
-    open_ = place.join(mixed, "key")
-    other = open_.select("key", F.col("rep").alias("b"), F.col("c").alias("d"))
-    rest = open_.select("key", F.col("lead"), F.col("rep").alias("a"), "c").join(other, "key").where("a < b and c <> d and a <> lead").select("a", "b").distinct()
+    mixed = place.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("key")
+    sketched = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
+    open_ = written(place.join(mixed, "key").join(sketched, "rep"))
+    other = open_.select("key", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("o"), F.col("sketch").alias("t"))
+    apart = " + ".join(f"bit_count(sketch[{k}] ^ t[{k}])" for k in range(_BUCKETS // 64))
+    near = f"100 * least(n, o) >= {percent} * greatest(n, o) and (least(n, o) < {_BUCKETS} or {apart} <= {_sketch_limit(percent)})"
+    rest = open_.withColumnRenamed("rep", "a").join(other, "key").where("a < b and c <> d").where(near).select("a", "b").distinct()
+    rest = rest.join(first, ["a", "b"], "left_anti")
     more = written(_links(rest, profiles, percent))
     everything = links.select("a", "b").union(more).union(same)
     final = components(everything)
