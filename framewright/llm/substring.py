@@ -44,6 +44,8 @@ ANCHOR_WORDS = 3
 SHARD_WORDS = 400_000
 #: An anchor in more than 1/HOT of all documents is hot.
 HOT = 512
+#: Bytes of text whose windows are found together.
+BATCH_BYTES = 8_000_000
 #: Windows that search the index together.
 SEARCH_ROWS = 200_000
 
@@ -77,16 +79,16 @@ class Batch:
             gram = np.zeros(m, np.uint64)
             for k in range(ANCHOR_WORDS):
                 gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m])
-        total, span = n - window + 1, window - ANCHOR_WORDS + 1
-        least = gram[:total].copy()
-        for k in range(1, span):
-            np.minimum(least, gram[k : k + total], out=least)
-        where = np.full(total, -1, np.int64)
-        for k in range(span - 1, -1, -1):
-            where[gram[k : k + total] == least] = k
-        start = np.flatnonzero(self.row[:total] == self.row[window - 1 :])
-        self.start, self.anchor = start, least[start]
-        self.place = where[start] + start
+        # Least over the runs of a window, by doubling.
+        span, least = window - ANCHOR_WORDS + 1, gram
+        reach = 1
+        while 2 * reach <= span:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if span > reach:
+            least = np.minimum(least[: reach - span], least[span - reach :])
+        self.start = np.flatnonzero(self.row[: n - window + 1] == self.row[window - 1 :])
+        self.anchor = least[self.start]
 
     def segments(self, hot: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first window, windows, key) of each segment; a hot anchor's windows stand alone."""
@@ -95,7 +97,7 @@ class Batch:
             return s, s, self.anchor
         is_hot = np.isin(self.anchor, hot) if len(hot) else np.zeros(len(s), bool)
         new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1] + 1) | (self.place[1:] != self.place[:-1]) | (self.row[s[1:]] != self.row[s[:-1]]) | is_hot[1:] | is_hot[:-1]
+        new[1:] = (s[1:] != s[:-1] + 1) | (self.anchor[1:] != self.anchor[:-1]) | (self.row[s[1:]] != self.row[s[:-1]]) | is_hot[1:] | is_hot[:-1]
         at = np.flatnonzero(new)
         key = self.anchor[at].copy()
         if is_hot.any():
@@ -113,10 +115,14 @@ def _counted(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in groups(batch.column("text")):
+            for first, part in groups(batch.column("text"), BATCH_BYTES):
                 b = Batch(batch.column("doc_id").slice(first, len(part)), part, window)
-                pairs = np.unique(np.stack([b.anchor, b.row[b.start].astype(np.uint64)]), axis=1)[0] if len(b.start) else b.anchor
-                anchors, n = np.unique(pairs, return_counts=True)
+                start, _, key = b.segments(np.zeros(0, np.uint64), window)
+                order = np.argsort(key, kind="stable")
+                key, row = key[order], b.row[start[order]]
+                once = np.ones(len(key), bool)
+                once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                anchors, n = np.unique(key[once], return_counts=True)
                 many = n >= max(8, len(part) / (2 * HOT))
                 keys = [None, *anchors[many].astype(np.int64).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(part), *n[many].tolist()], pa.int64()), pa.array([b.n_words] + [0] * (len(keys) - 1), pa.int64())], names=["key", "docs", "words"])
@@ -130,7 +136,7 @@ def _dealt(window: int, shards: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for first, part in groups(batch.column("text")):
+            for first, part in groups(batch.column("text"), BATCH_BYTES):
                 b = Batch(batch.column("doc_id").slice(first, len(part)), part, window)
                 start, many, key = b.segments(hot, window)
                 doc, pos = b.ids[b.row[start]], start - b.first_word[b.row[start]] if len(start) else start
@@ -245,31 +251,45 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(_searched(window), "doc_id bigint, first bigint, stop bigint")
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress each text: it crosses the network once, by id, and that is most of what moves."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        small = pa.array([None if t is None else pack.compress(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([small if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Take the words of ``gone`` out of ``text``: n_words, n_removed, kept text."""
+    """Restore each text and take the words of ``_gone`` out of it: n_words, n_removed, kept_text."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        n, removed, texts = [], [], []
-        gone = batch.column(batch.schema.names.index("_gone"))
-        for text, cuts in zip(batch.column(batch.schema.names.index("_text")), gone):
-            words = (text.as_py() or "").encode().split()
-            mask = np.ones(len(words), bool)
-            for cut in cuts.as_py() or ():
-                mask[cut["first"] : cut["stop"]] = False
+        texts, n, removed, kept = [], [], [], []
+        at = batch.schema.get_field_index("text")
+        for small, cuts in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            data = b"" if small is None else unpack.decompress(small)
+            texts.append(None if small is None else data)
+            words = data.split()
             n.append(len(words))
-            removed.append(int(len(words) - mask.sum()))
-            texts.append((b" ".join(words if mask.all() else [words[i] for i in np.flatnonzero(mask)])).decode())
-        rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_gone", "_text")]
-        names = [c for c in batch.schema.names if c not in ("_gone", "_text")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+            if cuts:
+                mask = np.ones(len(words), bool)
+                for cut in cuts:
+                    mask[cut["first"] : cut["stop"]] = False
+                words = [words[i] for i in np.flatnonzero(mask)]
+            removed.append(n[-1] - len(words))
+            kept.append(b" ".join(words))
+        columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text, its kept words joined by one space."""
     cuts = repeated_intervals(docs, window).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "stop")).alias("_gone"))
-    joined = docs.withColumn("_text", F.col("text").cast("string")).join(cuts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    kept = [f for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words bigint, n_removed bigint, kept_text string"
-    return joined.select(*[c.name for c in kept], "_text", "_gone").mapInArrow(_cut, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"text": "string"}
+    small = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_squeezed, ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()))
+    joined = small.join(cuts, F.col("doc_id") == F.col("_id"), "left").select(*[f"`{c}`" for c in docs.columns], "_gone")
+    schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", n_words bigint, n_removed bigint, kept_text string"
+    return joined.mapInArrow(_cut, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
