@@ -158,7 +158,7 @@ def _dealt(window: int, shards: int, hot: np.ndarray):
                     own = order[edges[k] : edges[k + 1]]
                     go, gone = own[~settled[own]], own[settled[own]]
                     text = b"".join([b.data[x:y] for x, y in zip(low[go].tolist(), high[go].tolist())])
-                    columns = [np.diff(doc[go], prepend=0), pos[go].astype(np.int32), many[go].astype(np.uint8 if window < 240 else np.int32), (high - low)[go].astype(np.int32), (key[go] >> np.uint64(32)).astype(np.uint32), doc[gone], pos[gone], many[gone]]
+                    columns = [np.diff(doc[go], prepend=0), pos[go].astype(np.int32), many[go].astype(np.int32), (high - low)[go].astype(np.int32), (key[go] >> np.uint64(32)).astype(np.uint32), doc[gone], pos[gone], many[gone]]
                     names.append(k)
                     blobs.append(pack.compress(pickle.dumps((columns, text), protocol=5)))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
