@@ -35,6 +35,9 @@ KEY = "framewright"
 MALE_TITLES = r"Mr\.?|Herrn?|Monsieur|Señor|Sr\.|г-н|господин"
 FEMALE_TITLES = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|г-жа|госпожа"
 
+# One of these stands in every title above.
+TITLE_STEMS = ("Mr", "Ms", "Miss", "Mme", "Madame", "Monsieur", "Herr", "Frau", "Señor", "Sr", "Sra", "г-", "господин", "госпожа")
+
 EMAIL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
@@ -59,6 +62,19 @@ SYLLABLES = {
 }
 
 
+def _has_entity(text: Column) -> Column:
+    """Whether ``PATTERN`` is in a text, by cheap tests first.
+
+    Every kind but names and secrets of letters alone needs a digit or ``@``,
+    and a name needs a title; most texts have none of them.
+    """
+    titled = F.lit(False)
+    for title in TITLE_STEMS:
+        titled = titled | text.contains(title)
+    hint = text.rlike("[0-9@]") | titled | text.rlike("[a-f]{32}|[A-F]{32}")
+    return F.coalesce(F.when(hint, text.rlike(PATTERN)).otherwise(False), F.lit(False))
+
+
 def _kind(value: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
@@ -165,7 +181,7 @@ def surrogates(entities: DataFrame, key: str = KEY, attempts: int = 32) -> DataF
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; ``count`` names a column for their number."""
     columns = docs.columns
-    has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
+    has = _has_entity(F.col(text))
     plain = docs.where(~has)
     some = docs.where(has).withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
     found = some.groupBy("_key").agg(F.any_value(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("_values"))
