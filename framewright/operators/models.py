@@ -35,18 +35,24 @@ def builder(name: str, stand_in: bool = False) -> Callable:
     raise KeyError(f"model {name!r} is not registered; known: {sorted(REGISTRY)}")
 
 
-def vectors(windows: DataFrame, x: str = "x") -> DataFrame:
-    """``features``: the flattened window as a vector."""
-    return windows.withColumn("features", array_to_vector(F.transform(F.flatten(x), lambda v: v.cast("double")))).withColumn("label", F.col("label").cast("double"))
+def vectors(windows: DataFrame, size: int, x: str = "x") -> DataFrame:
+    """``features``: the flattened window as a vector of ``size`` elements.
+
+    The length is held explicitly: a model's function may run on rows that a
+    later part of the same filter drops, short windows at a stream's end.
+    """
+    flat = F.transform(F.flatten(x), lambda v: v.cast("double"))
+    full = F.slice(F.concat(flat, F.array_repeat(F.lit(0.0), size)), 1, size)
+    return windows.withColumn("features", array_to_vector(full)).withColumn("label", F.col("label").cast("double"))
 
 
 def train(name: str, windows: DataFrame, size: int, stand_in: bool = False, **params):
-    return builder(name, stand_in)(size, **params).fit(vectors(windows))
+    return builder(name, stand_in)(size, **params).fit(vectors(windows, size))
 
 
 def predict(model, windows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y_true, y_pred (first maximum) and probabilities."""
-    out = model.transform(vectors(windows))
+    out = model.transform(vectors(windows, model.numFeatures))
     p = vector_to_array("probability")
     return out.select(*keys, F.col("label").cast("int").alias("y_true"), (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("y_pred"), p.alias("probability"))
 
