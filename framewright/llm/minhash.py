@@ -12,9 +12,9 @@
 4. A pair whose collision-corrected estimate of the Jaccard index could reach
    the threshold is verified on both full sets.
 5. Members of a key that are still in different components after that are
-   paired with each other component's members of the same key where sizes and
-   one-bit sketches of the registers allow the threshold, and verified the same
-   way, so no link between components is lost.
+   paired with each other component's members of the same key where sizes,
+   parity sketches and one-bit sketches of the registers allow the threshold,
+   and verified the same way, so no link between components is lost.
 
 With 51 bands of 5 registers a pair at the threshold 0.8 is missed with
 probability 1.6e-9.  Defined results: null and empty texts have an empty set,
@@ -40,6 +40,8 @@ MANTISSA_BITS = 10
 BAND_REGISTERS = 5
 SHINGLE_WORDS = 5
 PERCENT = 80
+#: Bits of the parity sketch.
+PARITY_BITS = 1024
 #: Standard errors below the threshold at which an estimate still goes to verification.
 MARGIN = 6.0
 
@@ -106,15 +108,29 @@ def estimated(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (float((a == b).mean()) - chance) / (1 - chance))
 
 
-def sketch(register: np.ndarray) -> np.ndarray:
-    """The low bits of the registers: unlike registers differ in half of them."""
-    return np.packbits((register & 1).astype(np.uint8), bitorder="little").view("<i8")
+def sketch(register: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Longs: the low bits of the registers (unlike ones differ in half of
+    them), then for each residue of the hashes whether the set holds an odd
+    number (unlike bits are at most the elements that only one set has)."""
+    low = np.packbits((register & 1).astype(np.uint8), bitorder="little").view("<i8")
+    odd = np.bincount((found % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.concatenate([low, np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")])
 
 
-def _sketch_limit(percent: int) -> int:
-    """Bits that sketches of sets at the threshold differ in at most, MARGIN standard errors above the mean."""
-    p = (1 - percent / 100) / 2
-    return int(np.ceil(_BUCKETS * p + MARGIN * np.sqrt(_BUCKETS * p * (1 - p))))
+def _possible(percent: int) -> str:
+    """SQL condition that two sets (n, sketch) and (o, t) may reach the threshold.
+
+    Sizes and parities are exact bounds.  The low bits are asked only of sets
+    that fill the registers, at MARGIN standard errors above their mean.
+    """
+    p, words = (1 - percent / 100) / 2, _BUCKETS // 64
+    limit = int(np.ceil(_BUCKETS * p + MARGIN * np.sqrt(_BUCKETS * p * (1 - p))))
+    differ = lambda first, many: " + ".join(f"bit_count(sketch[{k}] ^ t[{k}])" for k in range(first, first + many))
+    return (
+        f"100 * least(n, o) >= {percent} * greatest(n, o)"
+        f" and {100 + percent} * ({differ(words, PARITY_BITS // 64)}) <= {100 - percent} * (n + o)"
+        f" and (least(n, o) < {_BUCKETS} or {differ(0, words)} <= {limit})"
+    )
 
 
 def _profiles(size: int, full: bool):
@@ -136,7 +152,7 @@ def _profiles(size: int, full: bool):
                             low.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(1))).astype(np.int64)) if len(found) else 0)
                             high.append(int(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)) if len(found) else 0)
                         bands.append(band_keys(register) if len(found) else np.zeros(0, np.int64))
-                        sketches.append(sketch(register).tolist() if len(found) else [])
+                        sketches.append(sketch(register, found).tolist() if len(found) else [])
                 ids = keys.slice(first, len(part))
                 if full:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "registers", "shingles"])
@@ -220,9 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     sketched = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
     open_ = written(place.join(mixed, "key").join(sketched, "rep"))
     other = open_.select("key", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("o"), F.col("sketch").alias("t"))
-    apart = " + ".join(f"bit_count(sketch[{k}] ^ t[{k}])" for k in range(_BUCKETS // 64))
-    near = f"100 * least(n, o) >= {percent} * greatest(n, o) and (least(n, o) < {_BUCKETS} or {apart} <= {_sketch_limit(percent)})"
-    rest = open_.withColumnRenamed("rep", "a").join(other, "key").where("a < b and c <> d").where(near).select("a", "b").distinct()
+    rest = open_.withColumnRenamed("rep", "a").join(other, "key").where("a < b and c <> d").where(_possible(percent)).select("a", "b").distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = written(_links(rest, profiles, percent))
     everything = links.select("a", "b").union(more).union(same)
