@@ -21,6 +21,10 @@ from framewright.llm.substring import remove_repeats
 from framewright.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def _own(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """Bring ``n_chars`` in line with a changed text, where the table has it."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -29,25 +33,25 @@ def _sized(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose calibrated probability of toxicity is one half or more."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, into="_score").where("_score < 0.5").select(*docs.columns)
+    return score_toxicity(docs, model, into="_fw_score").where("_fw_score < 0.5").select(*_own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of documents that share four fifths of their five-word shingles."""
-    found = near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    one = docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return one.select(*docs.columns)
+    found = near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_fw_gone")).distinct()
+    one = docs.join(found, F.col("doc_id") == F.col("_fw_gone"), "left_anti")
+    return one.select(*_own(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 13 words or more that a document with a smaller id holds."""
-    out = remove_repeats(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    return _sized(out.select(*docs.columns))
+    out = remove_repeats(docs, prefix="_fw_").withColumn("text", F.when(F.col("_fw_n_removed") > 0, F.col("_fw_kept_text")).otherwise(F.col("text")))
+    return _sized(out.select(*_own(docs)))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates."""
-    return _sized(replace_entities(docs).select(*docs.columns))
+    return _sized(replace_entities(docs).select(*_own(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

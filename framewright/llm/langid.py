@@ -80,17 +80,17 @@ def predict_languages(docs: DataFrame, names: list[str], network: ByteGRU | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, score = [], []
-            for _, part in groups(batch.column(batch.schema.names.index("_text")), 4_000_000):
+            for _, part in groups(batch.column(batch.schema.names.index("_fw_text")), 4_000_000):
                 letter = np.asarray(pc.match_substring_regex(part, r"\p{L}"))
                 p = probabilities(network, part) if network else np.zeros((len(part), 1))
                 best += [names[k] if ok and names else "und" for k, ok in zip(p.argmax(axis=1), letter)]
                 score += np.where(letter & bool(names), p.max(axis=1), 0.0).tolist()
-            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*[c for c in batch.schema.names if c != "_text"], "lang_pred", "score"])
+            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_fw_text"]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*[c for c in batch.schema.names if c != "_fw_text"], "lang_pred", "score"])
 
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
-    return docs.select(*[f.name for f in kept], F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{f.name}`" for f in kept], F.col(text).cast("string").alias("_fw_text")).mapInArrow(run, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

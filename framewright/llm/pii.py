@@ -180,22 +180,22 @@ def surrogates(entities: DataFrame, key: str = KEY, attempts: int = 32) -> DataF
 
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; ``count`` names a column for their number."""
-    columns = docs.columns
+    columns = docs.columns if count is None else [c for c in docs.columns if c != count]
     has = _has_entity(F.col(text))
     plain = docs.where(~has)
-    some = docs.where(has).withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
-    found = some.groupBy("_key").agg(F.any_value(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("_values"))
-    each = found.select("_key", F.posexplode("_values").alias("_at", "_value")).withColumn("kind", _kind(F.col("_value")))
+    some = docs.where(has).withColumn("_fw_key", F.sha2(F.col(text).cast("binary"), 256))
+    found = some.groupBy("_fw_key").agg(F.any_value(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("_values"))
+    each = found.select("_fw_key", F.posexplode("_values").alias("_at", "_value")).withColumn("kind", _kind(F.col("_value")))
     each = written(each.withColumn("canonical", _canonical(F.col("kind"), F.col("_value"))))
     drawn = each.join(surrogates(each, key), ["kind", "canonical"])
-    dressed = drawn.select("_key", F.struct("_at", _dressed(F.col("kind"), F.col("_value"), F.col("surrogate")).alias("s")).alias("x"))
-    lists = dressed.groupBy("_key").agg(F.array_sort(F.collect_list("x")).alias("_list"))
-    joined = some.join(lists, "_key")
+    dressed = drawn.select("_fw_key", F.struct("_at", _dressed(F.col("kind"), F.col("_value"), F.col("surrogate")).alias("s")).alias("x"))
+    lists = dressed.groupBy("_fw_key").agg(F.array_sort(F.collect_list("x")).alias("_fw_list"))
+    joined = some.join(lists, "_fw_key")
     gaps = F.split(F.col(text), PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.transform("_list", lambda x: x["s"]), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    extra = [] if count is None else [F.size("_list").cast("long").alias(count)]
-    new = joined.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in columns], *extra)
-    return plain.select(*columns, *([] if count is None else [F.lit(0).cast("long").alias(count)])).unionByName(new)
+    rebuilt = F.array_join(F.zip_with(gaps, F.transform("_fw_list", lambda x: x["s"]), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    extra = [] if count is None else [F.size("_fw_list").cast("long").alias(count)]
+    new = joined.select(*[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *extra)
+    return plain.select(*[f"`{c}`" for c in columns], *([] if count is None else [F.lit(0).cast("long").alias(count)])).unionByName(new)
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ The order changes the cost and ``failed_rule``; the verdict is the same in any o
 
 Defined results: a null or empty text has no words, all counts are 0, it fails
 the base rule and is not kept.  Repeated rows give repeated rows.  A null id is
-carried along.  Other columns of the input are ignored.
+carried along.  Other columns are carried along; those named like a result are
+replaced by it, and names that begin with ``_fw_`` are reserved.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 512
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "failed_rule", "kept")
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that the rules read.
 
@@ -32,33 +36,33 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     occurs again has an equal neighbour; this takes n log n steps inside the
     row and moves nothing between machines.
     """
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn("_words", words_of(F.col("_text")))
-    out = out.withColumn("_lines", F.expr(r"filter(split(_text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
-    out = out.withColumn("n_words", F.size("_words").cast("long"))
+    out = docs.withColumn("_fw_text", F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn("_fw_words", words_of(F.col("_fw_text")))
+    out = out.withColumn("_fw_lines", F.expr(r"filter(split(_fw_text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
+    out = out.withColumn("n_words", F.size("_fw_words").cast("long"))
     out = out.withColumn(
-        "_windows",
+        "_fw_windows",
         F.expr(
             "sort_array(transform(if(n_words < 3, cast(array() as array<int>), sequence(0, cast(n_words as int) - 3)),"
-            " i -> struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) as w, i as i)))"
+            " i -> struct(concat_ws(' ', _fw_words[i], _fw_words[i + 1], _fw_words[i + 2]) as w, i as i)))"
         ),
     )
     out = out.withColumn(
-        "_again",
+        "_fw_again",
         F.expr(
-            "transform(filter(_windows, (x, j) ->"
-            " (j > 0 and x.w = get(_windows, j - 1).w) or coalesce(x.w = get(_windows, j + 1).w, false)), x -> x.i)"
+            "transform(filter(_fw_windows, (x, j) ->"
+            " (j > 0 and x.w = get(_fw_windows, j - 1).w) or coalesce(x.w = get(_fw_windows, j + 1).w, false)), x -> x.i)"
         ),
     )
     return out.select(
-        *[c for c in docs.columns],
-        "_text",
+        *[f"`{c}`" for c in docs.columns if c not in RESULTS],
+        "_fw_text",
         "n_words",
-        F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.expr("cast(size(array_distinct(flatten(transform(_again, i -> array(i, i + 1, i + 2))))) as bigint)").alias("n_repeat_words"),
+        F.length(F.translate("_fw_text", SPACES, "")).cast("long").alias("word_chars"),
+        (F.length("_fw_text") - F.length(F.translate("_fw_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("_fw_lines") - F.size(F.array_distinct("_fw_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("_fw_lines").cast("long").alias("n_lines"),
+        F.expr("cast(size(array_distinct(flatten(transform(_fw_again, i -> array(i, i + 1, i + 2))))) as bigint)").alias("n_repeat_words"),
     )
 
 
@@ -69,8 +73,8 @@ def base_failed() -> Column:
 
 def rules() -> dict[str, Column]:
     """The method's rules; true means that the text fails."""
-    letters = F.length(F.regexp_replace("_text", r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace("_text", r"[^\p{Lu}]", ""))
+    letters = F.length(F.regexp_replace("_fw_text", r"[^\p{L}]", ""))
+    capitals = F.length(F.regexp_replace("_fw_text", r"[^\p{Lu}]", ""))
     return {
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
         "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
@@ -108,7 +112,7 @@ def quality_cascade(docs: DataFrame, key: str = "doc_id", text: str = "text", or
     for name in order:
         verdict = verdict.when(by_name[name], name)
     out = measures(docs, text).withColumn("base_failed", base_failed())
-    return out.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull()).drop("_text")
+    return out.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull()).drop("_fw_text")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

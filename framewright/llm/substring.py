@@ -261,7 +261,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Restore each text and take the words of ``_gone`` out of it: n_words, n_removed, kept_text."""
+    """Restore each text and take the words of ``_fw_gone`` out of it: n_words, n_removed, kept_text."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         texts, n, removed, kept = [], [], [], []
@@ -282,14 +282,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_text, its kept words joined by one space."""
-    cuts = repeated_intervals(docs, window).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "stop")).alias("_gone"))
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> DataFrame:
+    """``docs`` with n_words, n_removed and kept_text, its kept words joined by one space.
+
+    ``prefix`` goes before the three names; columns of ``docs`` of those names are replaced.
+    """
+    results = [prefix + n for n in ("n_words", "n_removed", "kept_text")]
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in results])
+    cuts = repeated_intervals(docs, window).groupBy(F.col("doc_id").alias("_fw_id")).agg(F.collect_list(F.struct("first", "stop")).alias("_fw_gone"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"text": "string"}
     small = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_squeezed, ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()))
-    joined = small.join(cuts, F.col("doc_id") == F.col("_id"), "left").select(*[f"`{c}`" for c in docs.columns], "_gone")
-    schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", n_words bigint, n_removed bigint, kept_text string"
-    return joined.mapInArrow(_cut, schema)
+    joined = small.join(cuts, F.col("doc_id") == F.col("_fw_id"), "left").select(*[f"`{c}`" for c in docs.columns], "_fw_gone")
+    schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + f", `{results[0]}` bigint, `{results[1]}` bigint, `{results[2]}` string"
+    return joined.mapInArrow(_cut, schema).toDF(*docs.columns, *results)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
         .agg(F.max("toxic").alias("toxic"))
     )
     taken = F.broadcast(smallest(known, F.col("_id"), rows))
-    found = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(taken, "_id")
+    found = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(taken, "_id")
     one = found.groupBy(F.xxhash64("text").alias("_h")).agg(F.min_by(F.struct("text", "toxic", "_id"), "_id").alias("r"))
     return one.select(F.pmod(F.xxhash64(F.lit(8), "r._id"), F.lit(10)).cast("int").alias("part"), "r.text", "r.toxic")
 
