@@ -31,6 +31,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,9 +207,7 @@ def encode(docs: DataFrame, model_path: str | None = None, how: str | None = Non
     path = model_path or default_model()
 
     @F.pandas_udf("array<int>")
-    def run(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
         mode = how or ("merges" if c.merges else "viterbi")
         for texts in parts:
@@ -225,9 +224,7 @@ def decode(docs: DataFrame, model_path: str | None = None, ids: str = "ids", int
     path = model_path or default_model()
 
     @F.pandas_udf("string")
-    def run(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
         for part in parts:
             yield pd.Series([None if x is None else c.decode(np.asarray(x)).decode("utf-8", "replace") for x in part])
