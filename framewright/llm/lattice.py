@@ -31,6 +31,10 @@ class Pieces:
         self.keys = keys[self.order]
         if len(np.unique(self.keys)) != len(strings):
             raise ValueError("two pieces have one hash or one string")
+        #: For each length, which pairs of first and last byte a piece of it has.
+        self.ends = np.zeros((self.longest + 1, 65_536), bool)
+        for s in strings:
+            self.ends[len(s), s[0] * 256 + s[-1]] = True
         bits = max(4, int(4 * len(strings)).bit_length())
         self.shift, size = np.uint64(64 - bits), 1 << bits
         self.slot = np.full(size + 64, -1, np.int32)
@@ -66,7 +70,10 @@ class Pieces:
         return out
 
     def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(begin, end, piece of each row or -1) of a matrix of words, by end and then length."""
+        """(begin, end, piece of each row or -1) of a matrix of words, by end and then length.
+
+        Spans that no row's first and last byte allow are left out.
+        """
         n, length = words.shape
         with np.errstate(over="ignore"):
             rolled = np.zeros((length + 1, n), np.uint64)
@@ -77,8 +84,16 @@ class Pieces:
                 power.append(power[-1] * _BASE)
             for end in range(1, length + 1):
                 for size in range(1, min(self.longest, end) + 1):
-                    h = rolled[end] - rolled[end - size] * power[size] + np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
-                    yield end - size, end, self.find(h)
+                    begin = end - size
+                    rows = np.flatnonzero(self.ends[size][words[:, begin].astype(np.int64) * 256 + words[:, end - 1]])
+                    if not len(rows):
+                        continue
+                    h = rolled[end][rows] - rolled[begin][rows] * power[size] + np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+                    got = self.find(h)
+                    if (got >= 0).any():
+                        piece = np.full(n, -1, np.int32)
+                        piece[rows] = got
+                        yield begin, end, piece
 
 
 def by_length(words: list[bytes], most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,10 +136,9 @@ def forward(pieces: Pieces, logp: np.ndarray, words: np.ndarray, counts: np.ndar
         if end != last:
             close(last)
             last = end
-        if (piece >= 0).any():
-            at_end.append(alpha[begin] + np.where(piece >= 0, logp[piece], -np.inf))
-            if counts is not None:
-                seen.append((begin, end, piece))
+        at_end.append(alpha[begin] + np.where(piece >= 0, logp[piece], -np.inf))
+        if counts is not None:
+            seen.append((begin, end, piece))
     close(last)
     if counts is not None:
         total = alpha[length]
@@ -144,16 +158,17 @@ def forward(pieces: Pieces, logp: np.ndarray, words: np.ndarray, counts: np.ndar
     return alpha[length]
 
 
-def viterbi(pieces: Pieces, logp: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def viterbi(pieces: Pieces, logp: np.ndarray, words: np.ndarray, spans: list | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Best score of each word and, for each word, its best pieces.
 
-    Ties go to the longer last piece, the one that is probed last.
+    Ties go to the longer last piece, the one that is probed last.  ``spans``
+    may hold what ``pieces.spans`` has found for these words.
     """
     n, length = words.shape
     best = np.full((length + 1, n), -np.inf)
     best[0] = 0
     back, used = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int32)
-    for begin, end, piece in pieces.spans(words):
+    for begin, end, piece in pieces.spans(words) if spans is None else spans:
         score = best[begin] + np.where(piece >= 0, logp[piece], -np.inf)
         better = (score >= best[end]) & np.isfinite(score)
         np.copyto(best[end], score, where=better)

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from framewright.llm.lattice import Pieces, by_length, viterbi
 from framewright.llm.wordhash import groups
 
 #: Distinct units in a generation of those whose ids a worker keeps; there are two.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 400_000
 #: Bytes from which a unit is merged alone.
 LONG_UNIT = 48
 
@@ -69,7 +70,6 @@ class Codec:
                 if not special:
                     normal.setdefault(self.text[-1], i)
         strings = sorted(normal)
-        self.pieces = Pieces(strings)
         self.ids = np.array([normal[s] for s in strings], np.int64)
         self.score = scores[self.ids]
         self.of = {s: (scores[i], i) for s, i in normal.items()}
@@ -82,32 +82,32 @@ class Codec:
         self.path_pieces = Pieces(self.with_bytes)
         self.path_ids = np.concatenate([self.ids, [byte_id.get(s[0], model.unk_id()) for s in self.with_bytes[len(strings) :]]]).astype(np.int64)
         self.path_score = np.concatenate([self.score, np.full(len(self.with_bytes) - len(strings), self.floor)])
-        self.known: dict[str, tuple[dict, dict]] = {"viterbi": ({}, {}), "merges": ({}, {})}
-
-    def viterbi(self, units: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
-        for rows, matrix in by_length(units):
-            for row, path in zip(rows.tolist(), viterbi(self.path_pieces, self.path_score, matrix)[1]):
-                out[row] = self.path_ids[path]
-        return out
-
-    def merged(self, units: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
-        short = [i for i, u in enumerate(units) if len(u) <= LONG_UNIT]
-        for rows, matrix in by_length([units[i] for i in short], 200_000):
-            for row, ids in zip(rows.tolist(), self._merge_rounds(matrix)):
-                out[short[row]] = ids
-        for i, u in enumerate(units):
-            if len(u) > LONG_UNIT:
-                out[i] = self._merge_alone(u)
+        self.known: dict[tuple[str, ...], tuple[dict, dict]] = {}
+
+    def coded(self, units: list[bytes], hows: tuple[str, ...]) -> list[tuple[np.ndarray, ...]]:
+        """The ids of each unit by each coding; the codings share the probes of an equal-length batch."""
+        out: list[tuple[np.ndarray, ...]] = [()] * len(units)
+        for rows, matrix in by_length(units, 200_000):
+            long = matrix.shape[1] > LONG_UNIT
+            spans = list(self.path_pieces.spans(matrix)) if not long or "viterbi" in hows else []
+            found = []
+            for how in hows:
+                if how == "viterbi":
+                    found.append([self.path_ids[p] for p in viterbi(self.path_pieces, self.path_score, matrix, spans)[1]])
+                elif long:
+                    found.append([self._merge_alone(units[i]) for i in rows])
+                else:
+                    found.append(self._merge_rounds(matrix, spans))
+            for row, *ids in zip(rows.tolist(), *found):
+                out[row] = tuple(ids)
         return out
 
-    def _merge_rounds(self, words: np.ndarray) -> list[np.ndarray]:
+    def _merge_rounds(self, words: np.ndarray, spans: list) -> list[np.ndarray]:
         n, length = words.shape
-        longest = min(self.pieces.longest, length)
+        longest = min(self.path_pieces.longest, length)
         found = np.full((n, length, longest + 1), -1, np.int32)
-        for begin, end, piece in self.pieces.spans(words):
-            found[:, begin, end - begin] = piece
+        for begin, end, piece in spans:  # bytes that stand in for missing characters are not merged
+            found[:, begin, end - begin] = np.where(piece < len(self.ids), piece, -1)
         start = np.ones((n, length + 1), bool)
         start[:, :length] = (words & 0xC0) != 0x80  # characters begin here
         after = np.full((n, length + 1), length, np.int64)  # where the next piece begins
@@ -166,24 +166,55 @@ class Codec:
                 ids += [self.of[p][1]] if p in self.of else self.bytes[list(p)].tolist()
         return np.array(ids, np.int64)
 
-    def encode(self, texts: pa.Array, how: str) -> Iterator[np.ndarray]:
-        """The ids of each text (no nulls) as int32."""
-        units = [_UNITS.findall(b" " + t.replace(b"\xe2\x96\x81", b" ")) if t else [] for t in texts.cast(pa.large_binary()).to_pylist()]
-        new, old = self.known[how]
+    def _learned(self, units: list[bytes], hows: tuple[str, ...]) -> list[tuple[bytes, ...]]:
+        """For each unit its ids by each coding, as little-endian int32."""
+        new, old = self.known.setdefault(hows, ({}, {}))
         if len(new) > MEMO_UNITS:
             new, old = {}, new
-            self.known[how] = (new, old)
+            self.known[hows] = (new, old)
         miss = []
-        for u in {u for part in units for u in part}:
+        for u in units:
             if u not in new:
                 if u in old:
                     new[u] = old[u]
                 else:
                     miss.append(u)
-        for u, ids in zip(miss, (self.viterbi if how == "viterbi" else self.merged)(miss)):
-            new[u] = ids.astype("<i4").tobytes()
-        for part in units:
-            yield np.frombuffer(b"".join([new[u] for u in part]), "<i4")
+        for u, ids in zip(miss, self.coded(miss, hows)):
+            new[u] = tuple(i.astype("<i4").tobytes() for i in ids)
+        return [new[u] for u in units]
+
+    def encode(self, texts: pa.Array, *hows: str) -> Iterator[tuple[np.ndarray, ...]]:
+        """The ids (int32) of each text without nulls, by each coding."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.or_(pc.match_substring_regex(texts, "^ |  | $|\u2581"), pc.equal(pc.binary_length(texts), 0))
+        odd_rows = np.asarray(odd)
+        lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        flat, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+        codes, offsets = flat.indices.to_numpy().astype(np.int64), offsets - (offsets[0] if len(offsets) else 0)
+        got = self._learned([b" " + w for w in flat.dictionary.cast(pa.large_binary()).to_pylist()], hows)
+        tables = []
+        for k in range(len(hows)):
+            part = [g[k] for g in got]
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) // 4
+            tables.append((np.frombuffer(b"".join(part), "<i4"), np.cumsum(sizes) - sizes, sizes))
+        # Texts with runs of spaces are cut one by one: a run and the word after it are one unit.
+        rare = [_UNITS.findall(b" " + t.replace(b"\xe2\x96\x81", b" ")) if t else [] for t in texts.filter(odd).cast(pa.large_binary()).to_pylist()]
+        every = list({u for units in rare for u in units})
+        known = dict(zip(every, self._learned(every, hows)))
+        plain_at, rare_at = 0, 0
+        for is_odd in odd_rows.tolist():
+            if is_odd:
+                units = rare[rare_at]
+                rare_at += 1
+                yield tuple(np.frombuffer(b"".join([known[u][k] for u in units]), "<i4") for k in range(len(hows)))
+            else:
+                c = codes[offsets[plain_at] : offsets[plain_at + 1]]
+                plain_at += 1
+                out = []
+                for ids, starts, sizes in tables:
+                    n = sizes[c]
+                    out.append(ids[np.repeat(starts[c] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+                yield tuple(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         text = b"".join(map(self.text.__getitem__, ids.tolist()))
@@ -213,7 +244,7 @@ def encode(docs: DataFrame, model_path: str | None = None, how: str | None = Non
         for texts in parts:
             out: list = []
             for _, part in groups(pa.array(texts, pa.string()), 4_000_000):
-                out += list(c.encode(part, mode))
+                out += [ids for (ids,) in c.encode(part, mode)]
             yield pd.Series([None if t is None else ids for t, ids in zip(texts, out)])
 
     return docs.withColumn(into, run(F.col(text).cast("string")))
@@ -240,7 +271,7 @@ def _digests(path: str):
             for first, part in groups(batch.column("text"), 4_000_000):
                 valid = np.asarray(batch.column("text").slice(first, len(part)).is_valid())
                 rows = []
-                for text, ids, best, ok in zip(part.cast(pa.large_binary()).to_pylist(), c.encode(part, mode), c.encode(part, "viterbi"), valid):
+                for text, (ids, best), ok in zip(part.cast(pa.large_binary()).to_pylist(), c.encode(part, mode, "viterbi"), valid):
                     rows.append((len(ids), zlib.crc32(ids.tobytes()), len(best), zlib.crc32(best.tobytes()), c.decode(ids) == text and c.decode(best) == text) if ok else (None,) * 5)
                 cols = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(part)), *cols], names=["doc_id", "n_ids", "ids_crc32", "n_best_path", "best_path_crc32", "round_trip"])

@@ -283,7 +283,7 @@ def test_sentencepiece_like_the_library(spark, documents, odd):
     path = pieces.default_model()
     lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.codec(path)
     texts = ["Hello  wörld\tx\n y", " Hello", "x  ", "日本語 テスト 🙂 é", "", "   ", "a" * 200 + " " + "é" * 80, "a\xa0b   c", *[r["text"] for r in documents.collect()], *[t for _, t in TEXTS if t is not None]]
-    for text, ids, best in zip(texts, own.encode(pa.array(texts, pa.large_string()), "merges"), own.encode(pa.array(texts, pa.large_string()), "viterbi")):
+    for text, (ids, best) in zip(texts, own.encode(pa.array(texts, pa.large_string()), "merges", "viterbi")):
         assert ids.tolist() == lib.encode(text) and own.decode(ids) == text.encode() == own.decode(best)
     back = pieces.decode(pieces.encode(odd, into="ids_"), ids="ids_", into="back").collect()
     assert len(back) == len(TEXTS) and all(r["back"] == r["text"] for r in back)
