@@ -25,11 +25,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import fold, smallest, table
 from framewright.llm.gbt import BoostedTrees, Isotonic
+from framewright.llm.wordhash import coded, groups
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE_ROWS = 24_576
@@ -38,7 +41,9 @@ LEXICON_ENTRIES = 20_000
 #: Texts of a class that a lexicon entry must stand in at least.
 LEAST_TEXTS = 6
 #: Distinct words whose properties a worker keeps.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
+#: Bytes of text whose features are taken together; a longer text stands alone.
+GROUP_BYTES = 3_000_000
 
 # Second-person forms of the four languages.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine tu te toi ton ta vous votre usted tus ti eres"
@@ -95,27 +100,28 @@ class Toxicity:
             letters > 1 and upper == letters, len(token) - letters, token.count("!"), sum(map(str.isdigit, token)), hides, hidden, len(token),
         ]
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, texts: list[str | None] | pa.Array) -> np.ndarray:
         """One row of ``FEATURES`` for each text."""
         if not hasattr(self, "memo"):
             self.memo, self.rows = {}, np.zeros((1024, 15), dtype=np.float32)
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.memo}
+        codes, offsets, distinct = coded(pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), ""))
+        new = [w for w in distinct if w not in self.memo]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-            new = {w for words in split for w in words}
+            new = distinct
         need = len(self.memo) + len(new)
         if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), 15), dtype=np.float32)])
+            self.rows = np.concatenate([self.rows, np.zeros((max(need, len(self.rows) * 3 // 2) - len(self.rows), 15), dtype=np.float32)])
         for w in new:
             self.rows[len(self.memo)] = self.properties(w.decode())
             self.memo[w] = len(self.memo)
-        out = np.zeros((len(texts), len(FEATURES)))
-        for i, words in enumerate(split):
-            if not words:
+        place = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))
+        out = np.zeros((len(offsets) - 1, len(FEATURES)))
+        for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if first == last:
                 continue
-            n = len(words)
-            got = self.rows[np.fromiter(map(self.memo.__getitem__, words), np.int64, n)]
+            n = last - first
+            got = self.rows[place[codes[first:last]]]
             total = got.sum(axis=0, dtype=np.float64)
             at, you = np.flatnonzero((got[:, 3] >= 2) | (got[:, 4] > 0)), np.flatnonzero(got[:, 5])
             near = 0
@@ -130,7 +136,7 @@ class Toxicity:
             ]
         return out
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None] | pa.Array) -> np.ndarray:
         raw = self.trees.decision(self.features(texts))
         return self.calibration(raw) if self.calibration else 1 / (1 + np.exp(-raw))
 
@@ -138,18 +144,6 @@ class Toxicity:
 _INSULTS, _SECOND = frozenset(INSULTS.split()), frozenset(SECOND_PERSON.split())
 
 
-def grouped(texts: list, most: int = 4_000_000) -> Iterator[slice]:
-    """Slices of a list of texts with a bounded number of characters each; a longer text stands alone."""
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (last == first or size < most):
-            size += len(texts[last] or "")
-            last += 1
-        yield slice(first, last)
-        first = last
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``rows`` labelled training rows: part (0 to 9), text, toxic.
 
@@ -173,9 +167,9 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for part in grouped(pdf["text"].tolist()):
+            for first in range(0, len(pdf), 200):
                 count: dict[str, list[int]] = {}
-                for text, toxic in zip(pdf["text"][part], pdf["toxic"][part]):
+                for text, toxic in zip(pdf["text"][first : first + 200], pdf["toxic"][first : first + 200]):
                     for e in {e for w in set(plain(text)) for e in entries(w)}:
                         count.setdefault(e, [0, 0])[int(toxic)] += 1
                 yield pd.DataFrame([(e, a, b) for e, (a, b) in count.items()], columns=["entry", "clean", "toxic"])
@@ -197,9 +191,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts = pdf["text"].tolist()
-            for part in grouped(texts):
-                yield pd.DataFrame({"part": pdf["part"][part], "toxic": pdf["toxic"][part], "x": list(model.features(texts[part]))})
+            for first, part in groups(pa.array(pdf["text"], pa.string()), GROUP_BYTES):
+                own = pdf.iloc[first : first + len(part)]
+                yield pd.DataFrame({"part": own["part"], "toxic": own["toxic"], "x": list(model.features(part))})
 
     got = sample.where("part >= 5").mapInPandas(measured, "part int, toxic int, x array<double>").orderBy("part", "toxic", "x").toPandas()
     sample.unpersist()
@@ -215,11 +209,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for the whole of each text, in one pass."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            found = [model.score(texts.tolist()[part]) for part in grouped(texts.tolist())]
-            yield pd.Series(np.concatenate(found) if found else [], dtype="float64")
+            found = [model.score(part) for _, part in groups(texts, GROUP_BYTES)]
+            yield pa.array(np.concatenate(found) if found else [], pa.float64())
 
     return docs.withColumn(into, score(F.col(text).cast("string")))
 

@@ -6,6 +6,7 @@ of a batch once, however often it occurs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
+except OSError:  # no GNU C library here
+    _LIBC = None
+
 #: Bytes of text that are coded together; one longer text stands alone.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 8_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,6 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) in runs of about ``most`` bytes; nulls become empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -37,6 +50,7 @@ def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, pa.A
         last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + most, side="right")) - 1)
         yield first, texts.slice(first, last - first)
         first = last
+    give_back()
 
 
 def coded(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
