@@ -3,7 +3,7 @@
 1. Vectors that cannot be compared are set aside; equal vectors of a label are
    one class, its smallest id stands for it.
 2. A label's classes are dealt to their nearest pivot (a bounded number of
-   pivots a label), and a pivot's classes by hash into blocks of about
+   pivots), and a label's classes of one pivot by hash into blocks of about
    ``BLOCK`` classes, so no label or pivot has to fit in one task.
 3. Two blocks meet only if their pivots' balls come within the threshold.  Each
    meeting builds a cover tree of either block (levels with halving radii) and
@@ -19,6 +19,8 @@ lengths do not compare; repeated ids are one node, their copies count as links.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +32,8 @@ from framewright.llm.components import components
 THRESHOLD = 0.93
 #: Classes in a block, about.
 BLOCK = 1024
-#: Pivots of a label at most.
-PIVOTS = 16
+#: Pivots at most.
+PIVOTS = 64
 #: Points of a tree node that is not split further.
 LEAF = 24
 
@@ -176,30 +178,48 @@ def _comparable(vectors: DataFrame) -> DataFrame:
 
 def _met(classes: DataFrame, threshold: float, pairs: bool) -> DataFrame:
     """Meetings of the blocks of ``classes`` (label, dim, v, rep, many)."""
-    # A bounded number of pivots for each label: those of its classes with the smallest hash.
-    firsts = classes.groupBy("label", "dim").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "v")).alias("p0"), *[F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)) == k, F.struct(F.xxhash64("rep").alias("h"), "v"))).alias(f"p{k}_") for k in range(PIVOTS)])
-    pivots = firsts.select("label", "dim", F.array_compact(F.array(*[F.col(f"p{k}_")["v"] for k in range(PIVOTS)])).alias("pivots"))
-    unit = "transform({0}, x -> x / sqrt(aggregate({0}, 0d, (s, x) -> s + x * x)))"
-    dot = "aggregate(zip_with(u, transform(p, x -> x / sqrt(aggregate(p, 0d, (s, x) -> s + x * x))), (x, y) -> x * y), 0d, (s, x) -> s + x)"
-    placed = classes.join(pivots, ["label", "dim"]).withColumn("u", F.expr(unit.format("v")))
-    placed = placed.withColumn("best", F.expr(f"array_max(transform(pivots, (p, i) -> struct({dot} as c, -i as i)))"))
-    placed = placed.select("label", "dim", "rep", "many", "v", (-F.col("best.i")).alias("pivot"), F.expr("sqrt(greatest(2 - 2 * best.c, 0))").alias("far"))
-    placed = written(placed)
+    # At most PIVOTS class vectors, those with the smallest hash; they and their distances travel with the tasks.
+    # Small labels get few: a vector goes to every block that its own may meet, so tiny blocks would only multiply it.
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    take = min(PIVOTS, max(1, -(-largest // BLOCK)))
+    pivots = [(r["dim"], np.array(r["v"])) for r in smallest(classes.select("rep", "dim", "v"), F.col("rep"), take).collect()]
+    unit = [v / np.sqrt((v * v).sum()) for _, v in pivots]
+    of_dim = {d: [k for k, (e, _) in enumerate(pivots) if e == d] for d, _ in pivots}
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, values = np.asarray(batch.column("dim")), batch.column("v")
+            # A length without a pivot has pivot -1 and the radius of the sphere.
+            pivot, far = np.full(len(dims), -1, np.int32), np.full(len(dims), 2.0)
+            for d in np.unique(dims).tolist():
+                rows, own = np.flatnonzero(dims == d), of_dim.get(d)
+                if own:
+                    x = np.asarray(values.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), d)
+                    c = x @ np.stack([unit[k] for k in own]).T / np.sqrt((x * x).sum(axis=1))[:, None]
+                    best = c.argmax(axis=1)
+                    pivot[rows] = np.array(own)[best]
+                    far[rows] = np.sqrt(np.maximum(2 - 2 * c[np.arange(len(rows)), best], 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(far)], names=[*batch.schema.names, "pivot", "far"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
+    placed = written(classes.mapInArrow(nearest, f"{kinds}, pivot int, far double"))
     cells = placed.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = placed.join(cells.select("label", "dim", "pivot", "blocks"), ["label", "dim", "pivot"])
     dealt = dealt.select("label", "dim", "rep", "many", "v", F.struct("pivot", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).alias("part")).alias("block"))
-    each = cells.join(pivots, ["label", "dim"]).select("label", "dim", "radius", F.expr(unit.format("get(pivots, pivot)")).alias("u"), "pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"))
-    each = each.select("label", "dim", "radius", "u", F.struct("pivot", F.col("part").cast("long").alias("part")).alias("block"))
-    other = each.select("label", "dim", F.col("radius").alias("radius2"), F.col("u").alias("u2"), F.col("block").alias("two"))
+    each = cells.select("label", "dim", "radius", "pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"))
+    each = each.select("label", "dim", "radius", "pivot", F.struct("pivot", F.col("part").cast("long").alias("part")).alias("block"))
+    other = each.select("label", "dim", F.col("radius").alias("radius2"), F.col("pivot").alias("pivot2"), F.col("block").alias("two"))
     reach = float(np.sqrt(max(2 - 2 * threshold, 0)))
-    apart = "sqrt(greatest(2 - 2 * aggregate(zip_with(u, u2, (x, y) -> x * y), 0d, (s, x) -> s + x), 0))"
-    meet = each.withColumnRenamed("block", "one").join(other, ["label", "dim"]).where("one <= two").where(F.expr(f"one.pivot = two.pivot or {apart} <= radius + radius2 + {reach + 1e-7}")).select("label", "dim", "one", "two")
-    meet = written(meet)
+    gaps = [(i, j, float(np.sqrt(max(2 - 2 * float(unit[i] @ unit[j]), 0)))) for own in of_dim.values() for i in own for j in own] + [(-1, -1, 0.0)]
+    gap = classes.sparkSession.createDataFrame(gaps, "pivot int, pivot2 int, gap double")
+    meet = each.withColumnRenamed("block", "one").join(other, ["label", "dim"]).where("one <= two")
+    meet = meet.join(F.broadcast(gap), ["pivot", "pivot2"]).where(F.col("gap") <= F.col("radius") + F.col("radius2") + reach + 1e-7)  # at most PIVOTS squared rows
+    meet = written(meet.select("label", "dim", "one", "two"))
     sides = dealt.join(meet.withColumn("block", F.col("one")), ["label", "dim", "block"]).withColumn("side", F.lit(0)).unionByName(
         dealt.join(meet.where("one <> two").withColumn("block", F.col("two")), ["label", "dim", "block"]).withColumn("side", F.lit(1))
     )
-    flat = sides.select("label", "dim", F.hash("one").alias("one_"), F.col("one.pivot").alias("p1"), F.col("one.part").alias("q1"), F.col("two.pivot").alias("p2"), F.col("two.part").alias("q2"), "rep", "many", "v", "side")
+    flat = sides.select("label", "dim", F.col("one.pivot").alias("p1"), F.col("one.part").alias("q1"), F.col("two.pivot").alias("p2"), F.col("two.part").alias("q2"), "rep", "many", "v", "side")
     flat = flat.withColumn("one", F.concat_ws("/", "p1", "q1")).withColumn("two", F.concat_ws("/", "p2", "q2"))
     return flat.groupBy("label", "dim", "one", "two").applyInArrow(_meeting(threshold, pairs), "a bigint, b bigint, n bigint")
 
