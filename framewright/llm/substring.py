@@ -45,7 +45,7 @@ SHARD_WORDS = 400_000
 #: An anchor in more than 1/HOT of all documents is hot.
 HOT = 512
 #: Bytes of text whose windows are found together.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 5_000_000
 #: Windows that search the index together.
 SEARCH_ROWS = 200_000
 

@@ -43,12 +43,11 @@ def give_back() -> None:
 
 def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) in runs of about ``most`` bytes; nulls become empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)])
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + most, side="right")) - 1)
-        yield first, texts.slice(first, last - first)
+        yield first, pc.fill_null(texts.slice(first, last - first).cast(pa.large_string()), "")
         first = last
     give_back()
 
