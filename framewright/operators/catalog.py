@@ -42,7 +42,7 @@ def subject_of(path: Column) -> Column:
     """Nearest directory with a number from 1 to 60 that is no fold; else sub<number> in the name."""
     parts = F.split(path, "/")
     dirs = F.reverse(F.slice(parts, 1, F.size(parts) - 1))
-    numbers = F.transform(F.filter(dirs, lambda d: ~F.lower(d).contains("fold")), lambda d: F.expr("try_cast(null as bigint)") if d is None else F.regexp_extract(d, r"(\d+)", 1).try_cast("bigint"))
+    numbers = F.transform(F.filter(dirs, lambda d: ~F.lower(d).contains("fold")), lambda d: F.regexp_extract(d, r"(\d+)", 1).try_cast("bigint"))
     near = F.get(F.filter(numbers, lambda v: v.between(1, FOLDS * SUBJECTS_PER_FOLD)), 0)
     named = F.regexp_extract(_stem(path), r"sub(?:ject)?[_-]?(\d+)", 1).try_cast("bigint")
     return F.coalesce(near, named).cast("int")

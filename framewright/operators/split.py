@@ -54,15 +54,14 @@ def overlap(a: DataFrame, b: DataFrame, subject: str = "subject_id") -> DataFram
 def stratified(df: DataFrame, label: str, key: str, shares: tuple[float, float] = (0.8, 0.1), seed: int = 42) -> DataFrame:
     """Exact shares of each label by a seeded hash order of the key: train, val, test.
 
-    Rows of a label are ranked by range-partitioned sort of (label, hash): the
-    rank within a partition plus the rows of the partitions before it, so no
-    label has to fit in one task.
+    The rank of a row is its rank among those of its label with the same top
+    twelve bits of the hash, plus all of the label below them: a label is dealt
+    to 4096 windows, and only their counts are summed in order.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    ordered = df.withColumn("_h", h).repartitionByRange(F.col(label), F.col("_h"), F.col(key)).sortWithinPartitions(label, "_h", key).withColumn("_p", F.spark_partition_id())
-    local = ordered.withColumn("_i", F.row_number().over(Window.partitionBy("_p", label).orderBy("_h", key)))
-    sizes = ordered.groupBy("_p", label).count()
-    w = Window.partitionBy(label).orderBy("_p")  # one row a partition and label
-    before = sizes.select("_p", label, (F.sum("count").over(w) - F.col("count")).alias("_before"), F.sum("count").over(Window.partitionBy(label)).alias("_n"))
+    ordered = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_p", F.shiftright("_h", 52))
+    local = ordered.withColumn("_i", F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", key)))
+    sizes = ordered.groupBy(label, "_p").agg(F.count("*").alias("_m"))
+    w = Window.partitionBy(label).orderBy("_p")  # at most 4096 rows a label
+    before = sizes.select(label, "_p", (F.sum("_m").over(w) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy(label)).alias("_n"))
     at = (F.col("_before") + F.col("_i") - 1) / F.col("_n")
-    return local.join(before, ["_p", label]).withColumn("split", F.when(at < shares[0], "train").when(at < shares[0] + shares[1], "val").otherwise("test")).drop("_h", "_p", "_i", "_before", "_n")
+    return local.join(before, [label, "_p"]).withColumn("split", F.when(at < shares[0], "train").when(at < shares[0] + shares[1], "val").otherwise("test")).drop("_h", "_p", "_i", "_before", "_n")
