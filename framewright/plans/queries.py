@@ -361,7 +361,7 @@ def fold_label(spark, sf_dir):
     return summary.fold_label(_bench(spark, sf_dir))
 
 
-@query(f"""WITH {_FOLDS}, nm(feature_subset, name) AS (VALUES ('ear', 'EAR Only'), ('ear_mar', 'EAR + MAR'), ('all', 'All 5 Features'))
+@query(f"""WITH {_FOLDS}, nm(feature_subset, name) AS (VALUES ('ear', 'EAR Only'), ('ear_mar', 'EAR + MAR'), ('all', 'EAR + MAR + HeadPose (5 Features)'))
   SELECT upper(model) AS model, feature_subset, '| ' || upper(model) || ' | ' || coalesce(name, feature_subset) || printf(' | %.2f ± %.2f', 100 * ma, 100 * sa) || printf(' | %.2f ± %.2f', 100 * mp, 100 * sp)
   || printf(' | %.2f ± %.2f', 100 * mr, 100 * sr) || printf(' | %.2f ± %.2f', 100 * mf, 100 * sf) || ' | 0.00 | 0.000 ± 0.000 |' AS line FROM cv LEFT JOIN nm USING (feature_subset)""")
 def markdown_rows(spark, sf_dir):
@@ -446,7 +446,7 @@ def label_lookup(spark, sf_dir):
     return e.join(F.broadcast(schema.labels(spark)), "code").select("event_id", "label", "name")  # three rows
 
 
-@query("WITH n(subset, name) AS (VALUES ('ear', 'EAR Only'), ('ear_mar', 'EAR + MAR'), ('all', 'All 5 Features')), p AS (SELECT p_partkey, (['ear', 'ear_mar', 'all', 'blink'])[p_partkey % 4 + 1] AS subset FROM part) SELECT p_partkey, subset, coalesce(name, subset) AS display_name FROM p LEFT JOIN n USING (subset)")
+@query("WITH n(subset, name) AS (VALUES ('ear', 'EAR Only'), ('ear_mar', 'EAR + MAR'), ('all', 'EAR + MAR + HeadPose (5 Features)')), p AS (SELECT p_partkey, (['ear', 'ear_mar', 'all', 'blink'])[p_partkey % 4 + 1] AS subset FROM part) SELECT p_partkey, subset, coalesce(name, subset) AS display_name FROM p LEFT JOIN n USING (subset)")
 def subset_name_join(spark, sf_dir):
     names = F.array(*[F.lit(s) for s in ("ear", "ear_mar", "all", "blink")])
     p = views.table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 4).cast("int")).alias("subset"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Columns, sentinel, classes, folds, subsets and names.
 FEATURES = ["ear", "mar", "pitch", "yaw", "roll"]
 #: What a frame without a face holds.
 SENTINEL = (0.3, 0.0, 0.0, 0.0, 0.0)
@@ -12,7 +13,7 @@ CLASS_NAMES = ["Alert", "Low Vigilant", "Drowsy"]
 LABEL_CODES = {"0": 0, "5": 1, "10": 2}
 FOLDS, SUBJECTS_PER_FOLD = 5, 12
 SUBSETS = {"ear": [0], "ear_mar": [0, 1], "all": [0, 1, 2, 3, 4]}
-SUBSET_NAMES = {"ear": "EAR Only", "ear_mar": "EAR + MAR", "all": "All 5 Features"}
+SUBSET_NAMES = {"ear": "EAR Only", "ear_mar": "EAR + MAR", "all": "EAR + MAR + HeadPose (5 Features)"}
 MODELS = ["bilstm", "lstm", "bigru", "cnn1d", "transformer", "xgboost"]
 VIDEO_SUFFIXES = [".mp4", ".mov", ".avi", ".mkv", ".webm"]
 

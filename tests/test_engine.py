@@ -20,9 +20,9 @@ CASES = {
     "/d/01/0.mp4": (0, 1, 1),
     "/d/subject_05/5 (1).mp4": (1, 5, 1),
     "/d/x/subject-77_drowsy.avi": (2, 77, 5),
-    "/mnt/uta-rldd-fold-5/60/5.MP4": (1, 60, 5),
+    "/mnt/data-fold-5/60/5.MP4": (1, 60, 5),
     "/d/fold10/07/0.mp4": (0, 7, 1),
-    "/d/rishab260/part3/0.mp4": (0, 3, 1),
+    "/d/camera260/part3/0.mp4": (0, 3, 1),
     "/d/9/yellow.mp4": (1, 9, 1),
     "/d/12/50.mp4": None,
     "/d/3/05.mp4": None,
