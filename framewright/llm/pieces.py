@@ -42,7 +42,7 @@ from framewright.llm.lattice import Pieces, by_length, viterbi
 from framewright.llm.wordhash import groups
 
 #: Distinct units in a generation of those whose ids a worker keeps; there are two.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 600_000
 #: Bytes from which a unit is merged alone.
 LONG_UNIT = 48
 
