@@ -47,7 +47,9 @@ def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, pa.A
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + most, side="right")) - 1)
-        yield first, pc.fill_null(texts.slice(first, last - first).cast(pa.large_string()), "")
+        # A copy that starts at its own first byte: string kernels misread a slice that was cast in place.
+        own = texts.slice(first, last - first).take(pa.array(np.arange(last - first)))
+        yield first, pc.fill_null(own.cast(pa.large_string()), "")
         first = last
     give_back()
 

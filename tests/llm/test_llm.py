@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewright.llm import covertree, fmindex, langid, lattice, lmscore, minhash, packing, pieces, pii, quality, substring, toxicity
+from framewright.llm import covertree, fmindex, langid, lattice, lmscore, minhash, packing, pieces, pii, quality, substring, toxicity, wordhash
 from framewright.llm.bigru import ByteGRU
 from framewright.llm.components import components
 from framewright.llm.gbt import BoostedTrees, Isotonic
@@ -62,6 +62,19 @@ def words(text, lower=False):
 # Building blocks
 
 
+@pytest.mark.parametrize("lower", [False, True])
+def test_words_of_slices(documents, lower):
+    texts = [r["text"] for r in documents.collect()] + [t for _, t in TEXTS] + [" é\u00a0x ", None, "ß\x0bÑ"]
+    column, seen = pa.array(texts * 2, pa.string()).slice(3), 0
+    for first, part in wordhash.groups(column, 20_000):
+        assert first == seen
+        codes, offsets, distinct = wordhash.coded(part, lower)
+        for i in range(len(part)):
+            assert [distinct[c] for c in codes[offsets[i] : offsets[i + 1]]] == words(column[first + i].as_py(), lower)
+        seen += len(part)
+    assert seen == len(column)
+
+
 def test_fm_index_counts_like_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(40):
