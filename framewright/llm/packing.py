@@ -44,8 +44,10 @@ LOCAL_PIECES = 65_536
 MAX_OPEN = 4_096
 #: Partitions whose leftovers meet in one partition of the next round.
 FAN_IN = 8
+#: Bytes of text that are tokenised together; one longer text stands alone.
+GROUP_BYTES = 4_000_000
 #: Distinct words in a generation of the words whose ids a worker keeps; there are two.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 ITEM = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>"
 BIN = f"sequence_id bigint, fill bigint, done boolean, items array<{ITEM}>"
@@ -195,7 +197,7 @@ def _first(level: int) -> int:
 def pieces_of(texts: pa.Array, ids, capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, piece, start, length, crc32) for each piece of each text."""
     end = np.array([END_ID], dtype="<u4")
-    for first, part in groups(texts):
+    for first, part in groups(texts, GROUP_BYTES):
         for row, got in enumerate(ids(part), first):
             data = np.concatenate([got, end]).tobytes()
             for piece, at in enumerate(range(0, len(data), 4 * capacity)):
