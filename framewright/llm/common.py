@@ -32,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(root, f"fw-{uuid.uuid4().hex}")
 
 
+#: Rows of texts that a Python worker is sent at a time.
+BATCH_ROWS = 1_500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send workers texts in small batches: they and the executor hold several copies of each.
+
+    A smaller setting of the session stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 

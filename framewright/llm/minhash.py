@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import table, written
+from framewright.llm.common import small_batches, table, written
 from framewright.llm.components import components
 from framewright.llm.wordhash import coded, groups, hashes, mix
 
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     Documents link when ``100 * |A and B| >= percent * |A or B|`` of their sets
     of ``size``-word shingles; a component is named after its smallest id.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = written(source.mapInArrow(_profiles(size, False), "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, sketch array<bigint>"))
     some = seen.where("n_shingles > 0 and doc_id is not null")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import shared_dir, table
+from framewright.llm.common import shared_dir, small_batches, table
 from framewright.llm.wordhash import coded, groups
 
 CAPACITY = 4096
@@ -243,6 +243,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     shared folder, so a lost executor never repeats an earlier round.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     root = shared_dir(spark)
     path = tokenizer_path or default_tokenizer()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

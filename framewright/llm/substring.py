@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import table
+from framewright.llm.common import small_batches, table
 from framewright.llm.fmindex import FMIndex
 from framewright.llm.wordhash import groups, hashes, mix
 
@@ -45,7 +45,7 @@ SHARD_WORDS = 400_000
 #: An anchor in more than 1/HOT of all documents is hot.
 HOT = 512
 #: Bytes of text whose windows are found together.
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 8_000_000
 #: Windows that search the index together.
 SEARCH_ROWS = 200_000
 
@@ -287,6 +287,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> D
 
     ``prefix`` goes before the three names; columns of ``docs`` of those names are replaced.
     """
+    small_batches(docs.sparkSession)
     results = [prefix + n for n in ("n_words", "n_removed", "kept_text")]
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in results])
     cuts = repeated_intervals(docs, window).groupBy(F.col("doc_id").alias("_fw_id")).agg(F.collect_list(F.struct("first", "stop")).alias("_fw_gone"))

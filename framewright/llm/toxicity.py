@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fold, smallest, table
+from framewright.llm.common import fold, small_batches, smallest, table
 from framewright.llm.gbt import BoostedTrees, Isotonic
 from framewright.llm.wordhash import coded, groups
 
@@ -186,6 +186,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity:
     """Fit on a bounded sample of the labelled rows outside fold 0."""
+    small_batches(docs.sparkSession)
     sample = training_rows(docs, labels, rows).cache()
     model = Toxicity(lexicon=learn_lexicon(sample.where("part < 5")))
 
