@@ -12,7 +12,7 @@ the second, calibration on the third, so no part sees what it has shaped.
 
 Defined results: null and empty texts score by their (empty) features like any
 other; repeated rows score alike; with no labels, or labels of one class, every
-text gets the prior.  A null id is never held out and never learned from.
+text gets the share of toxic labels, kept below one half.  A null id is never held out and never learned from.
 Labels that are null are left out; of several labels of one id the largest
 counts.  Other columns of the input are carried along by :func:`score_toxicity`.
 """
@@ -201,6 +201,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     y, part = got["toxic"].to_numpy(dtype=float), got["part"].to_numpy()
     model.trees.fit(x[part < 8], y[part < 8])
+    if not model.trees.forest:  # nothing was learned from texts: the share of toxic labels, and no text is called toxic
+        share = min((y.sum() + 0.5) / (len(y) + 1.0), 0.49)
+        model.trees.prior = float(np.log(share / (1 - share)))
     held = part >= 8
     if held.any() and model.trees.forest:
         model.calibration = Isotonic().fit(model.trees.decision(x[held]), y[held])
