@@ -201,9 +201,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     y, part = got["toxic"].to_numpy(dtype=float), got["part"].to_numpy()
     model.trees.fit(x[part < 8], y[part < 8])
-    if not model.trees.forest:  # nothing was learned from texts: the share of toxic labels, and no text is called toxic
+    if not any((feature >= 0).any() for feature, _, _ in model.trees.forest):  # nothing was learned from texts: the share of toxic labels, and no text is called toxic
         share = min((y.sum() + 0.5) / (len(y) + 1.0), 0.49)
-        model.trees.prior = float(np.log(share / (1 - share)))
+        model.trees.forest, model.trees.prior = [], float(np.log(share / (1 - share)))
     held = part >= 8
     if held.any() and model.trees.forest:
         model.calibration = Isotonic().fit(model.trees.decision(x[held]), y[held])
