@@ -260,7 +260,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([small if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(results: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Restore each text and take the words of ``_fw_gone`` out of it: n_words, n_removed, kept_text."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -279,7 +279,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(n[-1] - len(words))
             kept.append(b" ".join(words))
         columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*batch.schema.names[:-1], *results])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> DataFrame:
@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> D
     small = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_squeezed, ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()))
     joined = small.join(cuts, F.col("doc_id") == F.col("_fw_id"), "left").select(*[f"`{c}`" for c in docs.columns], "_fw_gone")
     schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + f", `{results[0]}` bigint, `{results[1]}` bigint, `{results[2]}` string"
-    return joined.mapInArrow(_cut, schema).toDF(*docs.columns, *results)
+    return joined.mapInArrow(lambda batches: _cut(results, batches), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
