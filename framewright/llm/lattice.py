@@ -109,11 +109,11 @@ def by_length(words: list[bytes], most: int = 400_000) -> Iterator[tuple[np.ndar
             yield own, np.frombuffer(b"".join([words[i] for i in own]), np.uint8).reshape(len(own), size)
 
 
-def forward(pieces: Pieces, logp: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+def forward(pieces: Pieces, logp: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
     """Log of the summed probability of all segmentations of each word.
 
     With ``counts`` the expected uses of each piece are added to it, by a
-    backward pass over the same spans.
+    backward pass over the same spans; a word counts ``weight`` times.
     """
     n, length = words.shape
     alpha = np.full((length + 1, n), -np.inf)
@@ -154,7 +154,7 @@ def forward(pieces: Pieces, logp: np.ndarray, words: np.ndarray, counts: np.ndar
                 arc = logp[piece[rows]] + beta[end][rows]
                 beta[begin][rows] = np.logaddexp(beta[begin][rows], arc)
                 share = np.exp(alpha[begin][rows] + arc - total[rows])
-                counts += np.bincount(piece[rows], share, len(counts))
+                counts += np.bincount(piece[rows], share if weight is None else share * weight[rows], len(counts))
     return alpha[length]
 
 

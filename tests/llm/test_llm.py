@@ -212,6 +212,31 @@ def test_lm_words_are_a_distribution():
     assert 0.97 < total <= 1 + 1e-9
 
 
+def _lattice_scores(model, rows):
+    """Sum of log spell over all words of each text and its end, word by word."""
+    more = math.log1p(-(10 ** model.end()))
+    return {i: (sum(s + more for s in model.speller.spell(words(t, True)).tolist()) / math.log(10) if words(t) else 0) + model.end() for i, t in rows}
+
+
+def test_lm_score_is_the_lattice_marginal(spark, documents):
+    """However often the corpus or the document has had a word, only the lattice decides."""
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(100_000, "common " * 500), (100_001, "common " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = lmscore.fit_model(df, F.lit(True))
+    want = _lattice_scores(model, rows)
+    got = {r["doc_id"]: r["score"] for r in lmscore.score_texts(df, model, counts).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_lm_fit_counts_tokens():
+    """A word of count k weighs as much in the fit as k copies of it."""
+    strings, weight = [b" ", b" a", b" b", b"a", b"b", b"ab"], np.array([1.0, 2.0, 1.0, 3.0, 1.0, 2.0])
+    one, many = np.zeros(6), np.zeros(6)
+    lmscore.Speller(strings, weight).spell([b"ab", b"ba", b"aab"], one, np.array([3, 1, 2]))
+    lmscore.Speller(strings, weight).spell([b"ab"] * 3 + [b"ba"] + [b"aab"] * 2, many)
+    assert one == pytest.approx(many)
+
+
 def test_substring_like_brute_force(spark, documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(10_000 + k, "the " * (30 + k)) for k in range(3)]
     for hot in (substring.HOT, 10**9):  # with and without anchors that count as hot
