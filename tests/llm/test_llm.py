@@ -228,6 +228,17 @@ def test_lm_score_is_the_lattice_marginal(spark, documents):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("most", [0, 50])
+def test_lm_table_of_words_never_alters_a_score(spark, monkeypatch, most):
+    """Repeats of a word outside the table count in full, wherever they stand."""
+    rows = [(k, prose(k, 600, 300)) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = lmscore.fit_model(df, F.lit(True))
+    full = {r["doc_id"]: r["score"] for r in lmscore.score_texts(df, model, counts).collect()}
+    monkeypatch.setattr(lmscore, "TOP_WORDS", most)
+    assert {r["doc_id"]: r["score"] for r in lmscore.score_texts(df, model, counts).collect()} == pytest.approx(full)
+
+
 def test_lm_fit_counts_tokens():
     """A word of count k weighs as much in the fit as k copies of it."""
     strings, weight = [b" ", b" a", b" b", b"a", b"b", b"ab"], np.array([1.0, 2.0, 1.0, 3.0, 1.0, 2.0])
