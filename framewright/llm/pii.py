@@ -9,7 +9,11 @@
    a secret.
 3. Collision checks: two entities must not share a surrogate, and no surrogate
    may equal an entity of the corpus.  Losers (all but the smallest entity) draw
-   again with the next counter until none is left.
+   again with the next counter until none is left.  A surname is an entity of
+   its own (with its script): its surrogate is unique and no surname of the
+   corpus, and full names are a drawn given name before it, so 'Mr. John Smith'
+   and 'Mr. Smith' keep one surname and 'Mr. John Smith' and 'Mr. James Smith'
+   stay two people.
 4. A text with entities is cut at them and joined again with the surrogates,
    written in the form (separators, case, title) of each occurrence.
 
@@ -105,8 +109,13 @@ def _number(digest: Column, at: int, size: int = 4) -> Column:
     return F.conv(F.substring(digest, at, size), 16, 10).cast("int")
 
 
+def _syllables(digest: Column, script: str, n: int) -> Column:
+    syllables = F.split(F.lit(SYLLABLES[script]), " ")
+    return F.concat(*[F.get(syllables, _number(digest, 5 + 4 * k) % 32) for k in range(n)])
+
+
 def _surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate: for numbers its digits, for the rest its text."""
+    """The canonical surrogate: for numbers its digits, for names the given name, for the rest its text."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")), 256)
     more = F.concat(digest, F.sha2(digest, 256))
     numerals = F.translate(more, "abcdef", "830617")
@@ -118,17 +127,21 @@ def _surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Co
     iban = F.concat(F.left(canonical, F.lit(2)), F.substring(numerals, F.lit(1), n - 2))
     name = F.lit(None).cast("string")
     for (gender, script), names in GIVEN.items():
-        given = F.split(F.lit(names), " ")
-        syllables = F.split(F.lit(SYLLABLES[script]), " ")
-        surname = F.concat(*[F.get(syllables, _number(digest, 5 + 4 * k) % 32) for k in range(4)])
-        drawn = F.concat_ws(" ", F.get(given, _number(digest, 1) % 16), F.initcap(surname))
+        given = F.get(F.split(F.lit(names), " "), _number(digest, 1) % 16)
+        # The given names of the list are few: later draws lengthen them.
+        drawn = F.concat(given, F.when(attempt == 0, "").when(attempt < 8, _syllables(digest, script, 2)).otherwise(_syllables(digest, script, 6)))
         name = F.when(canonical.startswith(f"{gender}/{script}/"), drawn).otherwise(name)
+    surname = F.lit(None).cast("string")
+    for script in SYLLABLES:
+        drawn = F.initcap(F.when(attempt < 8, _syllables(digest, script, 4)).otherwise(_syllables(digest, script, 6)))
+        surname = F.when(canonical.startswith(f"{script}/"), drawn).otherwise(surname)
     address = F.concat(F.lit("user"), F.substring(digest, 1, 16), F.lit("@mail"), _number(digest, 60) % 10, F.lit(".example.org"))
     return (
         F.when(kind == "email", address)
         .when(kind == "secret", F.substring(more, F.lit(1), n))
         .when(kind == "ip", octets)
         .when(kind == "name", name)
+        .when(kind == "surname", surname)
         .when(kind == "iban", iban)
         .when((kind == "phone") & (n >= 10), phone)
         .otherwise(number)
@@ -146,27 +159,27 @@ def _dressed(kind: Column, value: Column, surrogate: Column) -> Column:
     woven = F.array_join(F.zip_with(gaps, digits, lambda g, d: F.concat(F.coalesce(g, F.lit("")), F.coalesce(d, F.lit("")))), "")
     filled = F.concat(F.when(kind == "iban", F.left(value, F.lit(2))).otherwise(""), woven)
     title = F.regexp_extract(value, rf"^(?:{MALE_TITLES}|{FEMALE_TITLES}) ", 0)
-    own = F.when(_bare_name(value).contains(" "), surrogate).otherwise(F.substring_index(surrogate, " ", -1))
     return (
         F.when(kind.isin("email", "ip"), surrogate)
         .when((kind == "secret") & (value == F.upper(value)), F.upper(surrogate))
         .when(kind == "secret", surrogate)
-        .when(kind == "name", F.concat(title, own))
+        .when(kind == "name", F.concat(title, surrogate))
         .otherwise(filled)
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY, attempts: int = 32) -> DataFrame:
-    """``(kind, canonical)`` with a ``surrogate`` that no other entity has and that is no entity.
+def _bare(kind: Column, canonical: Column) -> Column:
+    """A canonical form as its surrogate would be written: names without gender and script."""
+    return F.when(kind.isin("name", "surname"), F.substring_index(canonical, "/", -1)).otherwise(canonical)
 
-    Of entities that draw the same surrogate the smallest keeps it; the others,
-    and those that hit an entity of the corpus, draw again.
-    """
-    open_ = written(entities.select("kind", "canonical").distinct())
-    known = open_.select(F.col("kind"), F.col("canonical").alias("surrogate"))
+
+def _distinct(entities: DataFrame, key: str, attempts: int) -> DataFrame:
+    """``(kind, canonical, surrogate)`` of ``(kind, canonical, tail)``: a draw and its tail, by the rules of :func:`surrogates`."""
+    open_ = written(entities)
+    known = open_.select(F.col("kind"), _bare(F.col("kind"), F.col("canonical")).alias("surrogate")).distinct()
     done: DataFrame | None = None
     for attempt in range(attempts):
-        drawn = open_.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
+        drawn = open_.withColumn("surrogate", F.concat(_surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key), "tail"))
         drawn = drawn.join(known, ["kind", "surrogate"], "left_anti")
         if done is not None:
             drawn = drawn.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -178,6 +191,26 @@ def surrogates(entities: DataFrame, key: str = KEY, attempts: int = 32) -> DataF
     raise RuntimeError("more entities than surrogates of their form")
 
 
+def surrogates(entities: DataFrame, key: str = KEY, attempts: int = 32) -> DataFrame:
+    """``(kind, canonical)`` with a ``surrogate`` that no other entity has and that is no entity.
+
+    Of entities that draw the same surrogate the smallest keeps it; the others,
+    and those that hit an entity of the corpus, draw again.  Names of one word
+    are surnames, and their surrogate is the surname's; two words are a given
+    name and a surname.
+    """
+    every = written(entities.select("kind", "canonical").distinct())
+    bare = F.substring_index("canonical", "/", -1)
+    script = F.substring_index(F.substring_index("canonical", "/", 2), "/", -1)
+    names = every.where("kind = 'name'").withColumn("surname", F.concat_ws("/", script, F.substring_index(bare, " ", -1)))
+    surnames = names.select(F.lit("surname").alias("kind"), F.col("surname").alias("canonical")).distinct()
+    single = _distinct(every.where("kind <> 'name'").unionByName(surnames).withColumn("tail", F.lit("")), key, attempts)
+    drawn = single.where("kind = 'surname'").select(F.col("canonical").alias("surname"), "surrogate")
+    names = written(names.join(drawn, "surname").select("kind", "canonical", "surrogate"))
+    whole = _distinct(names.where(bare.contains(" ")).select("kind", "canonical", F.concat(F.lit(" "), "surrogate").alias("tail")), key, attempts)
+    return single.where("kind <> 'surname'").unionByName(names.where(~bare.contains(" "))).unionByName(whole)
+
+
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; ``count`` names a column for their number."""
     columns = docs.columns if count is None else [c for c in docs.columns if c != count]

@@ -385,6 +385,30 @@ def test_pii_collisions_draw_again(spark, monkeypatch):
     assert len({r["surrogate"] for r in got}) == 4 and not {r["surrogate"] for r in got} & {"a", "b", "c", "same"}
 
 
+def _names_after(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.replace_entities(df).orderBy("doc_id").collect()]
+
+
+def test_pii_surnames_are_distinct_and_shared(spark):
+    """Surname-only names never meet, and a surname has one surrogate with and without a given name."""
+    letters = "abcdefghij"
+    many = ["Mr. Q" + "".join(letters[int(d)] for d in f"{k:04d}") for k in range(6_000)]
+    given = [f"Mr. J{a}{b} Smith" for a in letters for b in "klmno"]
+    got = _names_after(spark, [*many, *given, "Mr. Smith", "Mrs. Smith", "Frau Jane Smith"])
+    singles, rest = got[: len(many)], got[len(many) :]
+    assert len(set(singles)) == len(many) and not {g.split()[-1] for g in got} & {n.split()[-1] for n in [*many, "Smith"]}
+    smith = {g.split()[-1] for g in rest}
+    assert len(smith) == 1 and not {f"Mr. {x}" for x in smith} & set(singles)
+    assert len(set(rest)) == len(rest)
+
+
+def test_pii_surrogate_names_are_no_names_of_the_corpus(spark):
+    first = _names_after(spark, ["Mr. Smith", "Mr. John Brown", "г-н Иванов"])
+    got = _names_after(spark, ["Mr. Smith", "Mr. John Brown", "г-н Иванов", *first])
+    assert not {g.split()[-1] for g in got[:3]} & {f.split()[-1] for f in first}
+
+
 def test_packing_is_whole_and_tight(spark, documents):
     from tokenizers import Tokenizer
 
