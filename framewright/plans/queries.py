@@ -464,7 +464,7 @@ def experiment_grid(spark, sf_dir):
 @query()
 def random_forest_metrics(spark, sf_dir):
     """The boosted-tree stand-in trained on folds 1 to 3, evaluated on fold 4."""
-    w = wi.windows(views.frames(spark, sf_dir), T, 3)
+    w = wi.windows(views.frames(spark, sf_dir), T, STEP)
     s = split.fold_split(w, 4)
     model = models.train("xgboost", s.where("split = 'train'"), T * len(FEATURES), stand_in=True)
     return metrics.averages(models.predict(model, s.where("split = 'test'"), ["video_id", "window_id"]))

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from framewright.plans import queries
 from framewright.plans.queries import QUERIES, SQL
 
 
@@ -31,6 +32,15 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_random_forest_takes_every_window(spark, sf, db, monkeypatch):
+    seen = []
+    train = queries.models.train
+    monkeypatch.setattr(queries.models, "train", lambda name, df, *a, **b: (seen.append(df.count()), train(name, df, *a, **b))[1])
+    tested = QUERIES["random_forest_metrics"](spark, sf).first()["support"]
+    sql = """SELECT sum(greatest(n - 9, 0)) FROM (SELECT user_id, event_id % 3, count(*) AS n FROM events WHERE ((user_id * 7) % 60) // 12 + 1 IN {} GROUP BY ALL)"""
+    assert seen == [db.execute(sql.format("(1, 2, 3)")).fetchone()[0]] and tested == db.execute(sql.format("(4)")).fetchone()[0]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
