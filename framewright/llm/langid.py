@@ -2,8 +2,10 @@
 
 The lower-cased UTF-8 of a text is walked in segments of ``SEGMENT`` bytes, in
 both directions; every byte gets class probabilities, and a document's are
-their mean over all of its bytes.  Training takes windows of at most
-``SAMPLE_ROWS`` labelled documents outside fold 0, those with the smallest hash of their id.
+their mean over all of its bytes.  Training takes windows of labelled documents
+outside fold 0: of each language up to as many distinct texts as share
+``SAMPLE_ROWS`` evenly (``LEAST`` at least), those with the smallest hash, so every
+language is learned however rare it is.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and where no label was learned; repeated rows get equal results; a null id is
@@ -18,15 +20,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.bigru import ByteGRU
-from framewright.llm.common import fold, smallest, table
+from framewright.llm.common import fold, table, written
 from framewright.llm.wordhash import groups
 
-#: Labelled documents that the network is trained on at most, and the bytes taken of each.
+#: Labelled texts that the network is trained on, all languages together, the least of each language, and the characters taken of each.
 SAMPLE_ROWS = 4_000
+LEAST = 20
 WINDOW = 96
 WINDOWS = 2
 SEGMENT = 256
@@ -34,13 +37,19 @@ STEPS = 260
 
 
 def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """(lang, data): byte windows at places that a hash of the id chooses."""
+    """(lang, cut): windows at places that a hash of the text chooses, of as many distinct texts of each language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    text = F.lower("text")
-    room = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
-    cuts = F.array(*[F.substring(text, (F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)])
-    few = smallest(labelled.select("doc_id", "lang", cuts.alias("cuts")), F.col("doc_id"), rows)
-    return few.select("doc_id", "lang", F.posexplode("cuts").alias("k", "cut")).orderBy("doc_id", "k", "lang", "cut").select("lang", "cut").toPandas()
+    labelled = labelled.select("lang", F.lower("text").alias("text")).withColumn("h", F.xxhash64("text"))
+    sizes = written(labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    each = max(LEAST, rows // max(sizes.count(), 1))
+    # The cut leaves more than ``each`` hashes of every language, and few more, so that little meets in one task.
+    below = F.col("h").cast("double") < 1.3 * each / F.col("n") * 2.0**64 - 2.0**63
+    near = labelled.join(F.broadcast(sizes), "lang").where((F.col("n") <= 2 * each) | below)  # one row a language
+    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    cuts = F.array(*[F.substring("text", (F.pmod(F.xxhash64("h", F.lit(k)), room) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)])
+    one = near.select("lang", "h", cuts.alias("cuts")).groupBy("lang", "h").agg(F.min("cuts").alias("cuts"))
+    few = one.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
+    return few.select("lang", "h", F.posexplode("cuts").alias("k", "cut")).orderBy("h", "k", "lang").select("lang", "cut").toPandas()
 
 
 def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], ByteGRU | None]:

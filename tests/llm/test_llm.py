@@ -186,6 +186,15 @@ def test_language(spark, documents):
     assert (held["lang"] == held["lang_pred"]).mean() > 0.9 and got["score"].between(0, 1).all()
 
 
+def test_language_samples_every_language_and_copies_once(spark):
+    rows = [(k, f"plain text number {k}", "en") for k in range(3_000)] + [(k, "the very same text", "en") for k in range(3_000, 5_000)]
+    rows += [(k, f"harvinainen kieli {k}", "fi") for k in range(5_000, 5_010)]
+    got = langid.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    distinct = got.drop_duplicates()
+    assert set(got["lang"]) == {"en", "fi"} and (got["lang"] == "en").sum() == 50 * langid.WINDOWS
+    assert (got["cut"] == "the very same text").sum() <= langid.WINDOWS and len(distinct) >= len(got) // langid.WINDOWS
+
+
 def test_lm_base_and_total_probability(spark, sf):
     rows = lmscore.op2_lm_score(spark, sf).collect()
     texts = {r["doc_id"]: words(r["text"], True) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
