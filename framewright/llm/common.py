@@ -22,11 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder that the session names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests, one machine) a temporary folder is made and used instead.
+    on one machine (tests) a temporary folder is made and used instead; on a
+    cluster that is an error, since machines do not share such folders.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="framewright-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        root = "file://" + tempfile.mkdtemp(prefix="framewright-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"fw-{uuid.uuid4().hex}")
@@ -39,7 +42,8 @@ BATCH_ROWS = 1_500
 def small_batches(spark: SparkSession) -> None:
     """Send workers texts in small batches: they and the executor hold several copies of each.
 
-    A smaller setting of the session stays as it is.
+    The setting is the session's (plans are lazy and read it when they run) and
+    changes no result; a smaller one stays as it is.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
@@ -54,7 +58,42 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fw_folder = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what :func:`written` wrote for ``df``, once nothing will read it again."""
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._fw_folder)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: A key that more than 1/HOT_SHARE of the rows hold is hot, so fewer than HOT_SHARE keys are.
+HOT_SHARE = 1_000
+#: Parts that the rows of a hot key are dealt to.
+HOT_PARTS = 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` (one row a key) on ``keys``, hot keys of ``left`` dealt to several tasks.
+
+    Keys are counted with partial aggregation.  The rows of a hot key are dealt
+    by a hash of their ``row`` columns, and the key's one row of ``right`` is copied
+    to each part.  Only the hot keys' hashes are broadcast, fewer than
+    ``HOT_SHARE`` longs; a key that shares a hash with a hot one is salted too,
+    which changes nothing.
+    """
+    counts = left.groupBy(F.xxhash64(*keys).alias("k")).agg(F.count("*").alias("n"))
+    total = left.count()
+    least = max(total // HOT_SHARE, HOT_PARTS)
+    hot = [r["k"] for r in counts.where(F.col("n") > least).collect()]  # fewer than HOT_SHARE
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    dealt = left.withColumn("_fw_salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), *row), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_fw_salt", F.explode(copies)), [*keys, "_fw_salt"], how).drop("_fw_salt")
 
 
 def words_of(text: Column) -> Column:
@@ -71,10 +110,12 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
 def smallest(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """A bounded, repeatable sample: at most ``rows`` rows, those with the smallest hashes of ``key``.
 
-    A first count sets a cut that about ``rows`` hashes lie below, so that what
-    meets in one task at the end is of that size and not that many a partition.
+    A first count sets a cut with about ``rows`` hashes below it and six standard
+    deviations to spare, so that what meets in one task at the end is of that
+    size and not that many a partition.
     """
     n = df.select(key.alias("k")).count()
-    if n > 2 * rows:
-        df = df.where(F.xxhash64(key) < F.lit(int(1.1 * rows / n * 2**64) - 2**63))
+    below = rows + 6 * rows**0.5 + 10
+    if n > 2 * below:
+        df = df.where(F.xxhash64(key) < F.lit(int(below / n * 2**64) - 2**63))
     return df.orderBy(F.xxhash64(key), key).limit(rows)

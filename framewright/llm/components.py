@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import written
+from framewright.llm.common import forget, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     )
     before = _state(edges)
     for _ in range(rounds):
-        edges = written(_small(_large(edges)))
+        last, edges = edges, written(_small(_large(edges)))
+        forget(last)
         after = _state(edges)
         if after == before:
             break

@@ -1,9 +1,10 @@
 """Words as lattices of vocabulary pieces: batched forward, backward and best path in numpy.
 
-Words of equal length advance together.  Rolling hashes of all substrings of a
-length probe the sorted hashes of the pieces; every hit is checked byte by byte
-once, when the table is built for distinct strings, by using 64-bit hashes that
-are distinct for all pieces.
+Words of equal length advance together.  Rolling 64-bit hashes of all substrings
+of a length probe the sorted hashes of the pieces, which are checked to be
+distinct when the table is built.  A hit is an equal hash (and first and last
+byte) and is not compared byte by byte: a substring that is no piece is taken
+for one with a probability of about pieces / 2^64.
 """
 
 from __future__ import annotations
