@@ -11,10 +11,14 @@ parts: lexicons of words and word beginnings are learned on the first, trees on
 the second, calibration on the third, so no part sees what it has shaped.
 
 Defined results: null and empty texts score by their (empty) features like any
-other; repeated rows score alike; with no labels, or labels of one class, every
-text gets the share of toxic labels, kept below one half.  A null id is never held out and never learned from.
-Labels that are null are left out; of several labels of one id the largest
-counts.  Other columns of the input are carried along by :func:`score_toxicity`.
+other; texts of any length are scored whole, a group of texts at a time;
+repeated rows score alike; an empty table gives no rows.  Where the sample has
+labels of one class only, or nothing splits it, every text gets the smoothed
+share of toxic labels; with no labels at all it gets ``NO_LABELS``.  A null id
+is never held out and never learned from.  Labels that are null are left out;
+of several labels of one id the largest counts; of equal texts the one of the
+smallest id counts.  Other columns of the input are carried along by
+:func:`score_toxicity`; one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ LEXICON_ENTRIES = 20_000
 LEAST_TEXTS = 6
 #: Distinct words whose properties a worker keeps.
 MEMO_WORDS = 300_000
+#: The score of every text where there are no labels to learn from.
+NO_LABELS = 0.25
 #: Bytes of text whose features are taken together; a longer text stands alone.
 GROUP_BYTES = 3_000_000
 
@@ -188,6 +194,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     """Fit on a bounded sample of the labelled rows outside fold 0."""
     small_batches(docs.sparkSession)
     sample = training_rows(docs, labels, rows).cache()
+    n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     model = Toxicity(lexicon=learn_lexicon(sample.where("part < 5")))
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,8 +208,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     y, part = got["toxic"].to_numpy(dtype=float), got["part"].to_numpy()
     model.trees.fit(x[part < 8], y[part < 8])
-    if not any((feature >= 0).any() for feature, _, _ in model.trees.forest):  # nothing was learned from texts: the share of toxic labels, and no text is called toxic
-        share = min((y.sum() + 0.5) / (len(y) + 1.0), 0.49)
+    if not any((feature >= 0).any() for feature, _, _ in model.trees.forest):  # nothing was learned from texts
+        share = (bad + 0.5) / (n + 1.0) if n else NO_LABELS
         model.trees.forest, model.trees.prior = [], float(np.log(share / (1 - share)))
     held = part >= 8
     if held.any() and model.trees.forest:
