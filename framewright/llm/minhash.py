@@ -17,9 +17,16 @@
    and verified the same way, so no link between components is lost.
 
 With 51 bands of 5 registers a pair at the threshold 0.8 is missed with
-probability 1.6e-9.  Defined results: null and empty texts have an empty set,
-link with nothing and stay; a text with fewer words than a shingle is one
-shingle; equal ids are one node; rows with a null id link with nothing and stay.
+probability 1.6e-9.  Skew: members of a hot class are dealt to several tasks
+(:func:`salted_join`); the members of a key that meet in step 5 are dealt to blocks
+of ``BLOCK``, and each pair of blocks is a task's work of its own.
+
+Defined results: null and empty texts have an empty set, link with nothing and
+stay; a text with fewer words than a shingle is one shingle; texts of any length
+count whole; equal ids are one node, also with unlike texts; rows with a null id
+link with nothing and stay; repeated rows get equal results; of a component the
+smallest id stays, so there are no ties; an empty table gives no rows.  Columns
+other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import small_batches, table, written
+from framewright.llm.common import salted_join, small_batches, table, written
 from framewright.llm.components import components
 from framewright.llm.wordhash import coded, groups, hashes, mix
 
@@ -42,6 +49,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: Bits of the parity sketch.
 PARITY_BITS = 1024
+#: Members of a key that meet those of another block in one task.
+BLOCK = 1024
 #: Standard errors below the threshold at which an estimate still goes to verification.
 MARGIN = 6.0
 
@@ -200,7 +209,7 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents link when ``100 * |A and B| >= percent * |A or B|`` of their sets
@@ -211,11 +220,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     seen = written(source.mapInArrow(_profiles(size, False), "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, sketch array<bigint>"))
     some = seen.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
-    member = some.select("doc_id", "n_shingles", "low", "high").join(classes, ["n_shingles", "low", "high"]).select("doc_id", "rep")
+    member = salted_join(some.select("doc_id", "n_shingles", "low", "high"), classes, ["n_shingles", "low", "high"], ["doc_id"]).select("doc_id", "rep")
     same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     # An id stands for its class once, however many equal rows there are.
-    reps = some.join(classes.select("n_shingles", "low", "high", F.col("rep").alias("doc_id")), ["n_shingles", "low", "high", "doc_id"], "left_semi")
+    reps = some.join(classes.select("n_shingles", "low", "high", F.col("rep").alias("doc_id")), ["doc_id", "n_shingles", "low", "high"], "left_semi")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most"), F.count("*").alias("n")).where("lead < most").select("key", "lead", "n")
     members = written(keyed.join(shared, "key").distinct())
@@ -231,23 +240,46 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     found = components(links)
 
     # Keys that still hold several components: their other pairs that sizes and one-bit sketches allow.
+    # A key's members are dealt to blocks; every pair of blocks meets under a key of its own.
     place = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     place = written(place)
-    mixed = place.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("key")
-    sketched = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
-    open_ = written(place.join(mixed, "key").join(sketched, "rep"))
-    other = open_.select("key", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("o"), F.col("sketch").alias("t"))
-    rest = open_.withColumnRenamed("rep", "a").join(other, "key").where("a < b and c <> d").where(_possible(percent)).select("a", "b").distinct()
+    mixed = place.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    sketched = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").distinct()  # an id with unlike texts keeps each
+    open_ = written(place.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sketched, "rep"))
+    here = open_.select("key", F.col("rep").alias("a"), "c", "n", "sketch", F.col("at").alias("one"), F.explode(F.expr("sequence(at, blocks - 1)")).alias("two"))
+    other = open_.select("key", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("o"), F.col("sketch").alias("t"), F.explode(F.expr("sequence(0, at)")).alias("one"), F.col("at").alias("two"))
+    rest = here.join(other, ["key", "one", "two"]).where("c <> d and (one < two or a < b)").where(_possible(percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = written(_links(rest, profiles, percent))
     everything = links.select("a", "b").union(more).union(same)
     final = components(everything)
-    return (
-        seen.select("doc_id", "n_shingles")
-        .join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    out = seen.where("doc_id is not null").select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Rows without an id have nothing to join on: they do not meet in one task.
+    out = out.unionByName(seen.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+       ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+g AS (SELECT DISTINCT doc_id, g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS place, g FROM (SELECT *, count(*) OVER (PARTITION BY g) AS df FROM g)),
+-- Sets that share four fifths share one of the rarest fifth (and one more) of each: only those are joined.
+p AS (SELECT doc_id, g FROM k JOIN n USING (doc_id) WHERE 5 * place <= n + 5),
+c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id),
+link AS (SELECT x, y FROM c JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y AND b.g = a.g JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y
+         GROUP BY x, y, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+both_ AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN both_ l ON r.y = l.x),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, comp.component_id, d.doc_id = comp.component_id AS kept
+FROM d JOIN comp ON comp.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
