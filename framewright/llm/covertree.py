@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import smallest, table, written
+from framewright.llm.common import salted_join, smallest, table, written
 from framewright.llm.components import components
 
 THRESHOLD = 0.93
@@ -171,7 +171,7 @@ def _meeting(threshold: float, pairs: bool):
 
 def _comparable(vectors: DataFrame) -> DataFrame:
     ok = "size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v")).where(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.expr("transform(cast(embedding as array<double>), x -> x + 0d)").alias("v")).where(  # no -0.0
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.expr(ok), F.lit(False))
     )
 
@@ -241,18 +241,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     valid, classes = _classes(vectors)
     met = written(_met(classes, threshold, False))
     links = met.where("a = b and n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    member = valid.join(classes, ["label", "dim", "v"]).select("vec_id", "rep", "many")
+    member = written(salted_join(valid, classes, ["label", "dim", "v"], ["vec_id"]).select("vec_id", "rep", "many"))
     edges = met.where("a <> b").select("a", "b").union(member.where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))
     found = components(edges)
-    counts = member.join(links, "rep", "left").groupBy("vec_id").agg(F.sum(F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = out.join(counts, "vec_id", "left").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return out.select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        F.col("vec_id").eqNullSafe(F.coalesce("component", "vec_id")).alias("kept"),
-    )
+    counts = salted_join(member, links, ["rep"], ["vec_id"], "left").groupBy("vec_id").agg(F.sum(F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
+    out = every.where("vec_id is not null").join(counts, "vec_id", "left").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    # Rows without an id have nothing to join on: they do not meet in one task.
+    out = out.unionByName(every.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
