@@ -27,5 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_near_dedup": covertree.OP3_SQL,
+        "op4_substring_dedup": substring.OP4_SQL,
         "op7_quality_rules": quality.OP7_SQL,
+        "op9_minhash_near_dedup": minhash.OP9_SQL,
     }

@@ -17,8 +17,10 @@
 Defined results: a null or empty text has no words; texts shorter than a window
 lose nothing; equal ids never remove from one another; rows that share an id
 are taken as one document (each loses what the id's rows lose at those places);
-rows with a null id lose nothing and remove nothing.  Other columns are carried
-along by :func:`remove_repeats`.
+rows with a null id lose nothing and remove nothing.  Texts of any length are
+searched whole, one that is longer than a batch alone.  Of places that tie the
+smallest id keeps its words; an empty table gives no rows.  Other columns are
+carried along by :func:`remove_repeats`; names that begin with ``_fw_`` are reserved.
 """
 
 from __future__ import annotations
@@ -152,10 +154,9 @@ def _dealt(window: int, shards: int, hot: np.ndarray):
                         settled[i] = True
                 shard = (key % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                edges = np.searchsorted(shard[order], np.arange(shards + 1))
+                found, edges = np.unique(shard[order], return_index=True)
                 names, blobs = [], []
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    own = order[edges[k] : edges[k + 1]]
+                for k, own in zip(found.tolist(), np.split(order, edges[1:])):
                     go, gone = own[~settled[own]], own[settled[own]]
                     text = b"".join([b.data[x:y] for x, y in zip(low[go].tolist(), high[go].tolist())])
                     columns = [np.diff(doc[go], prepend=0), pos[go].astype(np.int32), many[go].astype(np.int32), (high - low)[go].astype(np.int32), (key[go] >> np.uint64(32)).astype(np.uint32), doc[gone], pos[gone], many[gone]]
@@ -293,7 +294,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> D
     cuts = repeated_intervals(docs, window).groupBy(F.col("doc_id").alias("_fw_id")).agg(F.collect_list(F.struct("first", "stop")).alias("_fw_gone"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"text": "string"}
     small = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_squeezed, ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()))
-    joined = small.join(cuts, F.col("doc_id") == F.col("_fw_id"), "left").select(*[f"`{c}`" for c in docs.columns], "_fw_gone")
+    columns = [f"`{c}`" for c in docs.columns]
+    joined = small.where("doc_id is not null").join(cuts, F.col("doc_id") == F.col("_fw_id"), "left").select(*columns, "_fw_gone")
+    # Rows without an id have nothing to join on: they do not meet in one task.
+    joined = joined.unionByName(small.where("doc_id is null").select(*columns, F.lit(None).cast(joined.schema["_fw_gone"].dataType).alias("_fw_gone")))
     schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + f", `{results[0]}` bigint, `{results[1]}` bigint, `{results[2]}` string"
     return joined.mapInArrow(lambda batches: _cut(results, batches), schema)
 
@@ -302,3 +306,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of :func:`remove_repeats` over all ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(greatest(len(w) - 12, 0))) AS i, w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS t FROM x),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS first FROM g),
+h AS (SELECT doc_id, i + unnest(range(1, 14)) AS i FROM f WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM h),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT u.doc_id, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN word END, ' ' ORDER BY u.i) AS kept
+      FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.i = u.i GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
