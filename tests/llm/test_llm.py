@@ -422,7 +422,8 @@ def test_packing_is_whole_and_tight(spark, documents):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
+    marks = ["hello <|endoftext|> world", "hello<|endoftext|>World", "<|ENDOFTEXT|> x", "a<|startoftext|><|endoftext|>b", "<|end<|endoftext|>\n", "É <|endoftext|>ÉÉ  z <|startoftext|>"]
+    documents = documents.select("doc_id", "text").union(spark.createDataFrame([(100_000 + k, t) for k, t in enumerate(marks)], "doc_id long, text string"))
     got = packing.placed(packing.pack(documents, capacity=512)).toPandas()
     want = {}
     for r in documents.collect():
@@ -436,6 +437,28 @@ def test_packing_is_whole_and_tight(spark, documents):
     assert got["sequence_id"].nunique() <= 1.02 * math.ceil(got["length"].sum() / 512) + 1
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_packing_hands_on_enough(seed):
+    """The rounds with the proven bound give as many sequences as with every underfull bin handed on."""
+    rng = np.random.default_rng(seed)
+    sizes = [rng.integers(1, 101, 60) if seed else np.where(rng.random(60) < 0.7, rng.integers(51, 99, 60), rng.integers(1, 30, 60)) for _ in range(64)]
+
+    def sequences(everything):
+        layer, done = [[(int(n), [0]) for n in part] for part in sizes], 0
+        while True:
+            out = []
+            for part in layer:
+                bins = packing._packed(part, 100)
+                go = len(bins) if everything else packing._handed_on(bins, 100, 0, len(layer))
+                out.append(bins[:go])
+                done += len(bins) - go
+            if len(layer) == 1:
+                return done + len(out[0])
+            layer = [[b for part in out[k : k + packing.FAN_IN] for b in part] for k in range(0, len(out), packing.FAN_IN)]
+
+    assert sequences(False) <= sequences(True)
+
+
 def test_best_fit_bins():
     rng = random.Random(0)
     for _ in range(20):
