@@ -9,6 +9,8 @@ for one with a probability of about pieces / 2^64.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +99,29 @@ class Pieces:
                         yield begin, end, piece
 
 
+    def hits(self, word: bytes, stretch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(begins, ends, pieces) of one long word, by begin and then length, ``stretch`` begins at a time."""
+        data, length = np.frombuffer(word, np.uint8), len(word)
+        for at in range(0, length, stretch):
+            # All substrings of one length advance together, from the first byte of each.
+            own = data[at : min(at + stretch + self.longest, length)]
+            n = min(stretch, length - at)
+            h, begins, sizes, pieces = np.zeros(n, np.uint64), [], [], []
+            with np.errstate(over="ignore"):
+                for size in range(1, min(self.longest, len(own)) + 1):
+                    m = min(n, len(own) - size + 1)
+                    h = h[:m] * _BASE + own[size - 1 : size - 1 + m] + np.uint64(1)
+                    rows = np.flatnonzero(self.ends[size][own[:m].astype(np.int64) * 256 + own[size - 1 : size - 1 + m]])
+                    got = self.find(h[rows] + np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+                    some = got >= 0
+                    begins.append(rows[some])
+                    sizes.append(np.full(int(some.sum()), size))
+                    pieces.append(got[some])
+            begin, size, piece = (np.concatenate(x) for x in (begins, sizes, pieces))
+            order = np.lexsort((size, begin))
+            yield at + begin[order], at + begin[order] + size[order], piece[order]
+
+
 def by_length(words: list[bytes], most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix of bytes) of words of one length, about ``most`` bytes at a time."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -159,6 +184,35 @@ def forward(pieces: Pieces, logp: np.ndarray, words: np.ndarray, counts: np.ndar
     return alpha[length]
 
 
+def forward_alone(pieces: Pieces, logp: np.ndarray, word: bytes, counts: np.ndarray | None = None, weight: float = 1.0, stretch: int = 1 << 16) -> float:
+    """:func:`forward` for one long word, a stretch of begins at a time; memory is a few dozen bytes a byte."""
+    length, score = len(word), logp.tolist()
+    alpha, seen = array("d", [-np.inf]) * (length + 1), []
+    alpha[0] = 0.0
+
+    def add(to: array, at: int, x: float) -> None:
+        have = to[at]
+        if x > have:
+            x, have = have, x
+        to[at] = have + math.log1p(math.exp(x - have)) if x > -math.inf else have
+
+    for begins, ends, found in pieces.hits(word, stretch):
+        for b, e, p in zip(begins.tolist(), ends.tolist(), found.tolist()):
+            add(alpha, e, alpha[b] + score[p])
+        if counts is not None:
+            seen.append((begins.astype(np.int32), ends.astype(np.int32), found))
+    total = alpha[length]
+    if counts is not None and math.isfinite(total):
+        beta = array("d", [-np.inf]) * (length + 1)
+        beta[length] = 0.0
+        a, z = np.frombuffer(alpha), np.frombuffer(beta)
+        for begins, ends, found in reversed(seen):
+            for b, e, p in zip(begins[::-1].tolist(), ends[::-1].tolist(), found[::-1].tolist()):
+                add(beta, b, beta[e] + score[p])
+            counts += np.bincount(found, np.exp(a[begins] + logp[found] + z[ends] - total) * weight, len(counts))
+    return total
+
+
 def viterbi(pieces: Pieces, logp: np.ndarray, words: np.ndarray, spans: list | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Best score of each word and, for each word, its best pieces.
 
