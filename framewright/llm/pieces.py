@@ -15,12 +15,20 @@ Two codings share that machinery:
   segmentation, so for such files the ids come from batched merging: each round
   takes one vectorised maximum over the adjacent pairs of all units.
 
+Units over ``LONG_UNIT`` bytes (a text without spaces is one) are coded alone:
+pieces are found by vectorised steps over the begin positions of a stretch of
+``STRETCH`` bytes, and the best path takes one stretch after the other, so memory
+is a few dozen bytes for each byte of the unit, however long it is.
+
 Decoding looks up the bytes of ids and drops the space put before the text.
 
 Defined results: null texts encode to null ids and decode to null, empty texts
 to no ids; characters without a piece become byte pieces, so decoding returns
-every text exactly, but for U+2581, which SentencePiece reads as a space.
-Repeated rows get equal results; other columns are ignored.
+every text exactly, but for U+2581, which SentencePiece reads as a space.  Paths
+of equal score go to the longer last piece, pairs of equal score to the left.
+Repeated rows get equal results; an empty table gives no rows; other columns
+are carried by :func:`encode` and :func:`decode` (one named like the result is
+replaced) and ignored by the query.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +52,10 @@ from framewright.llm.wordhash import groups
 
 #: Distinct units in a generation of those whose ids a worker keeps; there are two.
 MEMO_UNITS = 600_000
-#: Bytes from which a unit is merged alone.
+#: Bytes from which a unit is coded alone.
 LONG_UNIT = 48
+#: Begin positions of a long unit that are probed together.
+STRETCH = 1 << 16
 
 _UNITS = re.compile(rb" *[^ ]+| +$")
 _LOADED: dict[str, Codec] = {}
@@ -72,7 +83,10 @@ class Codec:
         strings = sorted(normal)
         self.ids = np.array([normal[s] for s in strings], np.int64)
         self.score = scores[self.ids]
-        self.of = {s: (scores[i], i) for s, i in normal.items()}
+        self.of = normal
+        #: Place of each piece among all by score, the best first; equal scores share it.
+        order = np.unique(-self.score)
+        self.rank = dict(zip(self.ids.tolist(), np.searchsorted(order, -self.score).tolist()))
         self.bytes = np.array([byte_id.get(b, model.unk_id()) for b in range(256)], np.int64)
         self.merges = bool((scores[self.ids] < -1000).any())
         # For the best path a missing character costs more than any path of pieces.
@@ -88,16 +102,13 @@ class Codec:
         """The ids of each unit by each coding; the codings share the probes of an equal-length batch."""
         out: list[tuple[np.ndarray, ...]] = [()] * len(units)
         for rows, matrix in by_length(units, 200_000):
-            long = matrix.shape[1] > LONG_UNIT
-            spans = list(self.path_pieces.spans(matrix)) if not long or "viterbi" in hows else []
-            found = []
-            for how in hows:
-                if how == "viterbi":
-                    found.append([self.path_ids[p] for p in viterbi(self.path_pieces, self.path_score, matrix, spans)[1]])
-                elif long:
-                    found.append([self._merge_alone(units[i]) for i in rows])
-                else:
-                    found.append(self._merge_rounds(matrix, spans))
+            if matrix.shape[1] > LONG_UNIT:
+                alone = {"viterbi": self._path_alone, "merges": self._merge_alone}
+                found = [[alone[how](units[i]) for i in rows] for how in hows]
+            else:
+                spans = list(self.path_pieces.spans(matrix))
+                path = lambda: [self.path_ids[p] for p in viterbi(self.path_pieces, self.path_score, matrix, spans)[1]]  # noqa: E731, B023
+                found = [path() if how == "viterbi" else self._merge_rounds(matrix, spans) for how in hows]
             for row, *ids in zip(rows.tolist(), *found):
                 out[row] = tuple(ids)
         return out
@@ -136,35 +147,78 @@ class Codec:
         ids = np.where(np.repeat(piece, many) >= 0, self.ids[np.repeat(piece, many)], self.bytes[words[flat_row, np.repeat(begin, many) + offset]])
         return np.split(ids, np.cumsum(np.bincount(flat_row, minlength=n))[:-1])
 
+    def _path_alone(self, unit: bytes) -> np.ndarray:
+        """Best path through one long unit, begin by begin: a score is final once all pieces that end there are known."""
+        length, score = len(unit), self.path_score.tolist()
+        best, used = array("d", [-np.inf]) * (length + 1), array("i", [-1]) * (length + 1)
+        best[0] = 0.0
+        for begins, ends, pieces in self.path_pieces.hits(unit, STRETCH):
+            for b, e, p in zip(begins.tolist(), ends.tolist(), pieces.tolist()):
+                s = best[b] + score[p]
+                if s > best[e]:
+                    best[e], used[e] = s, p
+        taken, at = array("i"), length
+        while at:
+            taken.append(used[at])
+            at -= len(self.with_bytes[used[at]])
+        return self.path_ids[np.frombuffer(taken, np.int32)[::-1]]
+
     def _merge_alone(self, unit: bytes) -> np.ndarray:
-        """One long unit: a heap of adjacent pairs, n log n steps."""
-        part: list[bytes | None] = [c.encode() for c in unit.decode()]
-        left, right = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
-        heap: list[tuple[float, int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (got := self.of.get(joined := part[i] + part[j])):
-                heapq.heappush(heap, (-got[0], i, j, joined))
-
-        for i in range(len(part) - 1):
-            offer(i)
-        while heap:
-            _, i, j, joined = heapq.heappop(heap)
-            if part[i] is None or part[j] is None or right[i] != j or part[i] + part[j] != joined:
-                continue
-            part[i], part[j] = joined, None
-            right[i] = right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-                offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-        ids: list[int] = []
-        for p in part:
-            if p is not None:
-                ids += [self.of[p][1]] if p in self.of else self.bytes[list(p)].tolist()
-        return np.array(ids, np.int64)
+        """One long unit, n log n steps: the pairs at the start sorted once, those that merging makes in a heap.
+
+        A pair is one whole number, its rank, place and length, so that the
+        least of either queue is the next merge.
+        """
+        data = np.frombuffer(unit, np.uint8)
+        length, of, rank = len(unit), self.of, self.rank
+        edge = np.append(np.flatnonzero((data & 0xC0) != 0x80), length).astype(np.int32)
+        right, left = array("i", bytes(4 * (length + 1))), array("i", bytes(4 * (length + 1)))  # where the next piece begins; where the one before does
+        np.frombuffer(right, np.int32)[edge[:-1]] = edge[1:]
+        np.frombuffer(left, np.int32)[edge[1:]] = edge[:-1]
+        starts = []
+        for k in range(0, len(edge) - 2, STRETCH):
+            pairs = [(rank[got], b, e - b) for b, e in zip(edge[k : k + STRETCH].tolist(), edge[k + 2 : k + STRETCH + 2].tolist()) if (got := of.get(unit[b:e])) is not None]
+            part = np.array(pairs, np.int64).reshape(-1, 3)
+            starts.append((part[:, 0] << 40) | part[:, 1])
+        first = np.sort(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+        heap: list[int] = []
+        least = (1 << 40) - 1
+        for k in range(0, len(first), STRETCH):
+            for key in first[k : k + STRETCH].tolist() + ([1 << 62] if k + STRETCH >= len(first) else []):
+                # What merging made comes first where it is better, or as good and further left.
+                while heap and heap[0] >> 16 < key:
+                    made = heapq.heappop(heap)
+                    b = (made >> 16) & least
+                    self._join(unit, b, b + (made & 0xFFFF), left, right, heap)
+                if key < 1 << 62:
+                    b = key & least
+                    end = right[b] and right[right[b]] if right[b] and right[b] < length else 0
+                    if end and rank.get(of.get(unit[b:end], -1), -1) == key >> 40:
+                        self._join(unit, b, end, left, right, heap)
+        ids, at = array("i"), 0
+        while at < length:
+            piece = unit[at : right[at]]
+            if (got := of.get(piece)) is not None:
+                ids.append(got)
+            else:
+                ids.extend(self.bytes[list(piece)].tolist())
+            at = right[at]
+        return np.frombuffer(ids, np.int32).astype(np.int64)
+
+    def _join(self, unit: bytes, b: int, end: int, left: array, right: array, heap: list[int]) -> None:
+        """Join the piece at ``b`` and the next one if they still are two pieces that end at ``end``; offer the new pairs."""
+        mid, length = right[b], len(unit)
+        if not mid or mid >= length or right[mid] != end:
+            return
+        right[b], right[mid], left[end] = end, 0, b
+        if end < length:
+            far = right[end]
+            if (got := self.of.get(unit[b:far])) is not None:
+                heapq.heappush(heap, (((self.rank[got] << 40) | b) << 16) | (far - b))
+        if b:
+            near = left[b]
+            if (got := self.of.get(unit[near:end])) is not None:
+                heapq.heappush(heap, (((self.rank[got] << 40) | near) << 16) | (end - near))
 
     def _learned(self, units: list[bytes], hows: tuple[str, ...]) -> list[tuple[bytes, ...]]:
         """For each unit its ids by each coding, as little-endian int32."""

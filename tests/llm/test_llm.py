@@ -114,6 +114,9 @@ def test_lattice_like_all_segmentations():
                 for i in seq:
                     want[i] += math.exp(x - z)
         assert np.allclose(counts, want)
+        one = np.zeros(8)
+        alone = [lattice.forward_alone(table, logp, given[row], one, stretch=2) for row in rows]
+        assert alone == pytest.approx(total.tolist()) and np.allclose(one, counts)
 
 
 def test_gru_gradients_like_finite_differences():
@@ -347,6 +350,34 @@ def test_sentencepiece_like_the_library(spark, documents, odd):
     assert len(back) == len(TEXTS) and all(r["back"] == r["text"] for r in back)
 
 
+def test_sentencepiece_long_units_like_the_library(spark, empty):
+    """Text without spaces is one unit: exact, and not much larger in memory than its bytes."""
+    import base64
+    import tracemalloc
+
+    import sentencepiece
+
+    path = pieces.default_model()
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.codec(path)
+    rng = random.Random(0)
+    odd = ["".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(2_000)), "a" * 500, "internationalization" * 40, "".join(rng.choice("abcdeé日 ") for _ in range(3_000))]
+    for text in [base64.b64encode(rng.randbytes(3_000)).decode(), *odd]:
+        ((ids, best),) = own.encode(pa.array([text], pa.large_string()), "merges", "viterbi")
+        assert ids.tolist() == lib.encode(text) and own.decode(best) == text.encode()
+        if " " not in text:
+            matrix = np.frombuffer(f" {text}".encode(), np.uint8).reshape(1, -1)
+            assert best.tolist() == own.path_ids[lattice.viterbi(own.path_pieces, own.path_score, matrix)[1][0]].tolist()
+    part = base64.b64encode(rng.randbytes(150_000)).decode()
+    tracemalloc.start()
+    next(own.encode(pa.array([part], pa.large_string()), "merges", "viterbi"))
+    assert tracemalloc.get_traced_memory()[1] < 200 * len(part)
+    tracemalloc.stop()
+    long = base64.b64encode(rng.randbytes(1_500_000)).decode()
+    ((ids, best),) = own.encode(pa.array([long], pa.large_string()), "merges", "viterbi")
+    assert own.decode(ids) == own.decode(best) == long.encode()
+    assert pieces.encode(empty).count() == 0 and pieces.decode(pieces.encode(empty), into="back").count() == 0
+
+
 def test_quality_order_changes_nothing(odd, documents):
     plan = quality.plan_cascade(documents)
     assert sorted(r["rule"] for r in plan) == sorted(quality.rules())
