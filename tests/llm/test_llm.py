@@ -407,8 +407,8 @@ def test_toxicity_on_planted_words(spark):
 def test_pii_is_consistent_distinct_and_whole(spark):
     rows = [(k, f"Mail u{k % 50}@x{k % 3}.example.com, IP 10.{k % 7}.3.{k}, card 4111 1111 1111 {1000 + k}, call (521) 555-{6000 + k} or +1 521-555-{6000 + k}. Frau Meier.") for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
-    assert got == {r["doc_id"]: r["text"] for r in pii.replace_entities(df.repartition(5)).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "k").collect()}
+    assert got == {r["doc_id"]: r["text"] for r in pii.replace_entities(df.repartition(5), "k").collect()}
     assert got != {r["doc_id"]: r["text"] for r in pii.replace_entities(df, key="other").collect()}
     for pattern in (pii.EMAIL, pii.IP, pii.CARD):
         pairs = {(a, b) for i, t in rows for a, b in zip(re.findall(pattern, t), re.findall(pattern, got[i]), strict=True)}
@@ -421,13 +421,13 @@ def test_pii_is_consistent_distinct_and_whole(spark):
 
 def test_pii_collisions_draw_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "_surrogate", lambda kind, canonical, attempt, key: F.when(attempt == 0, F.lit("same")).otherwise(F.concat(F.lit("s"), canonical, attempt.cast("string"))))
-    got = pii.surrogates(spark.createDataFrame([("email", c) for c in ("a", "b", "c", "same")], "kind string, canonical string")).collect()
+    got = pii.surrogates(spark.createDataFrame([("email", c) for c in ("a", "b", "c", "same")], "kind string, canonical string"), "k").collect()
     assert len({r["surrogate"] for r in got}) == 4 and not {r["surrogate"] for r in got} & {"a", "b", "c", "same"}
 
 
 def _names_after(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r["text"] for r in pii.replace_entities(df).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.replace_entities(df, "k").orderBy("doc_id").collect()]
 
 
 def test_pii_surnames_are_distinct_and_shared(spark):
@@ -449,6 +449,31 @@ def test_pii_surrogate_names_are_no_names_of_the_corpus(spark):
     assert not {g.split()[-1] for g in got[:3]} & {f.split()[-1] for f in first}
 
 
+def test_pii_untitled_mentions_follow_their_titled_name(spark):
+    text = "Dr. Anna Stone met Mr. John Smith. Later John Smith, Smith and Anna Stone left Smithville; Stone said: smith. Prof. O'Brien-Müller and O'Brien-Müller"
+    other = "John Smith without a title"
+    got, left = _names_after(spark, [text, other])
+    assert left == other
+    anna, stone, john, smith = re.match(r"Dr\. (\w+) (\w+) met Mr\. (\w+) (\w+)\.", got).groups()
+    obrien = re.search(r"Prof\. (\w+) and", got).group(1)
+    assert got == f"Dr. {anna} {stone} met Mr. {john} {smith}. Later {john} {smith}, {smith} and {anna} {stone} left Smithville; {stone} said: smith. Prof. {obrien} and {obrien}"
+    assert len({anna, stone, john, smith, obrien, "Anna", "Stone", "John", "Smith"}) == 9
+
+
+def test_pii_check_digits(spark):
+    rows = [f"card 4111 1111 1111 {1000 + k}, IBAN DE89 3704 0044 0532 {1000 + k} 00" for k in range(60)]
+    for t in _names_after(spark, rows):
+        card = [int(d) for d in re.search(r"card ([\d ]+),", t).group(1) if d != " "]
+        assert sum(card[-1::-2]) % 10 == (-sum(sum(divmod(2 * d, 10)) for d in card[-2::-2])) % 10 and card[0] == 4
+        account = re.search(r"IBAN ([A-Z\d ]+)", t).group(1).replace(" ", "")
+        assert account[:2] == "DE" and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def test_pii_needs_a_key(spark, documents):
+    with pytest.raises(ValueError, match="key is needed"):
+        pii.replace_entities(documents)
+
+
 def test_packing_is_whole_and_tight(spark, documents):
     from tokenizers import Tokenizer
 
@@ -557,7 +582,7 @@ def test_odd_inputs_near(odd, empty):
 
 def test_odd_inputs_pii(odd, empty):
     for df, n in both(odd, empty):
-        out = pii.replace_entities(df)
+        out = pii.replace_entities(df, "k")
         assert out.columns == df.columns
         rows = out.collect()
         assert len(rows) == n and all(r["text"] is None for r in rows if r["doc_id"] == 4)
