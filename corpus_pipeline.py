@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import table, written
 from framewright.llm.minhash import near_duplicates
 from framewright.llm.packing import pack, placed
-from framewright.llm.pii import replace_entities
+from framewright.llm.pii import query_key, replace_entities
 from framewright.llm.substring import remove_repeats
 from framewright.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -50,8 +50,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by surrogates."""
-    return _sized(replace_entities(docs).select(*_own(docs)))
+    """Replace personal data by surrogates under the session's key."""
+    return _sized(replace_entities(docs, query_key(spark)).select(*_own(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
