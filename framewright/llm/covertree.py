@@ -2,19 +2,28 @@
 
 1. Vectors that cannot be compared are set aside; equal vectors of a label are
    one class, its smallest id stands for it.
-2. A label's classes are dealt to their nearest pivot (a bounded number of
-   pivots), and a label's classes of one pivot by hash into blocks of about
-   ``BLOCK`` classes, so no label or pivot has to fit in one task.
-3. Two blocks meet only if their pivots' balls come within the threshold.  Each
-   meeting builds a cover tree of either block (levels with halving radii) and
-   walks both trees at once, dropping node pairs whose centres are farther
-   apart than both radii and the threshold together.
+2. The classes of a label are a cell.  A cell of over ``BLOCK`` classes is split:
+   some of its classes, about one for each ``BLOCK`` and ``PIVOTS`` at most, are
+   centres, and every class goes to the nearest.  This is repeated for ``LEVELS``
+   levels at most, so cells grow in number with the data and stay local; what is
+   still too large then (a dense group) is cut by hash.
+3. Pairs of cells are followed down the levels: a pair goes on only if its balls
+   come within the threshold.  Each pair of last cells meets in one task, builds
+   a cover tree of either (levels with halving radii) and walks both trees at
+   once, dropping node pairs whose centres are farther apart than both radii and
+   the threshold together.
 4. A meeting returns, for each class, how many vectors it is linked to, and the
    links of a spanning forest, never all pairs of a dense group.
 
+Centres are rows of tables like all else; nothing is collected or broadcast.
+Copies of one vector are dealt to several tasks (:func:`salted_join`).
+
 Defined results: null or unequal labels, and vectors that are null, empty, zero
 or hold null or non-finite components link with nothing; vectors of different
-lengths do not compare; repeated ids are one node, their copies count as links.
+lengths do not compare; repeated ids are one node, their copies count as links;
+0.0 and -0.0 are equal; a class that is as near to two centres goes to the one of
+the smaller id; an empty table gives no rows.  Columns other than vec_id, label
+and embedding are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import salted_join, smallest, table, written
+from framewright.llm.common import salted_join, table, written
 from framewright.llm.components import components
 
 THRESHOLD = 0.93
 #: Classes in a block, about.
 BLOCK = 1024
-#: Pivots at most.
+#: Centres that a cell is split by, about, at most.
 PIVOTS = 64
+#: Times that a cell is split at most.
+LEVELS = 5
+#: Classes of a cell that one task compares with the cell's centres, about.
+GROUP = 50_000
 #: Points of a tree node that is not split further.
 LEAF = 24
 
@@ -176,52 +189,79 @@ def _comparable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _met(classes: DataFrame, threshold: float, pairs: bool) -> DataFrame:
-    """Meetings of the blocks of ``classes`` (label, dim, v, rep, many)."""
-    # At most PIVOTS class vectors, those with the smallest hash; they and their distances travel with the tasks.
-    # Small labels get few: a vector goes to every block that its own may meet, so tiny blocks would only multiply it.
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    take = min(PIVOTS, max(1, -(-largest // BLOCK)))
-    pivots = [(r["dim"], np.array(r["v"])) for r in smallest(classes.select("rep", "dim", "v"), F.col("rep"), take).collect()]
-    unit = [v / np.sqrt((v * v).sum()) for _, v in pivots]
-    of_dim = {d: [k for k, (e, _) in enumerate(pivots) if e == d] for d, _ in pivots}
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims, values = np.asarray(batch.column("dim")), batch.column("v")
-            # A length without a pivot has pivot -1 and the radius of the sphere.
-            pivot, far = np.full(len(dims), -1, np.int32), np.full(len(dims), 2.0)
-            for d in np.unique(dims).tolist():
-                rows, own = np.flatnonzero(dims == d), of_dim.get(d)
-                if own:
-                    x = np.asarray(values.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), d)
-                    c = x @ np.stack([unit[k] for k in own]).T / np.sqrt((x * x).sum(axis=1))[:, None]
-                    best = c.argmax(axis=1)
-                    pivot[rows] = np.array(own)[best]
-                    far[rows] = np.sqrt(np.maximum(2 - 2 * c[np.arange(len(rows)), best], 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(far)], names=[*batch.schema.names, "pivot", "far"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
-    placed = written(classes.mapInArrow(nearest, f"{kinds}, pivot int, far double"))
-    cells = placed.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = placed.join(cells.select("label", "dim", "pivot", "blocks"), ["label", "dim", "pivot"])
-    dealt = dealt.select("label", "dim", "rep", "many", "v", F.struct("pivot", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).alias("part")).alias("block"))
-    each = cells.select("label", "dim", "radius", "pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"))
-    each = each.select("label", "dim", "radius", "pivot", F.struct("pivot", F.col("part").cast("long").alias("part")).alias("block"))
-    other = each.select("label", "dim", F.col("radius").alias("radius2"), F.col("pivot").alias("pivot2"), F.col("block").alias("two"))
+_CELL = ["label", "dim", "cell"]
+
+
+def _nearest(rows: pa.Table, centres: pa.Table) -> pa.Table:
+    """Classes of one cell with the nearest of its centres and their distance from it."""
+    x = _matrix(rows.column("v"))
+    c = np.array(centres.column("centres")[0].as_py(), np.float64) if centres.num_rows and rows.num_rows else np.ones((1, x.shape[1]))
+    cosine = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ (c / np.sqrt((c * c).sum(axis=1))[:, None]).T
+    best = cosine.argmax(axis=1)
+    far = np.sqrt(np.maximum(2 - 2 * cosine[np.arange(len(x)), best], 0))
+    child = pa.array([f"{cell}/{k:04d}" for cell, k in zip(rows.column("cell").to_pylist(), best.tolist())], pa.string())
+    return rows.select(["label", "dim", "rep", "many", "v"]).append_column("cell", child).append_column("far", pa.array(far))
+
+
+def _split(placed: DataFrame, large: DataFrame, block: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of the cells ``large`` dealt to new cells, and the new cells: cell, parent, centre."""
+    own = written(salted_join(placed, large, _CELL, ["rep"]).drop("far"))
+    share = 1.5 * F.least(F.col("n") / block, F.lit(PIVOTS)) / F.col("n")
+    chosen = (F.pmod(F.xxhash64(F.lit(level), "rep"), F.lit(1 << 40)) < share * (1 << 40)) | (F.col("rep") == F.col("first"))
+    centres = own.where(chosen).groupBy(*_CELL, "n").agg(F.array_sort(F.collect_list(F.struct("rep", "v"))).alias("c"))  # about 1.5 PIVOTS at most
+    centres = written(centres.withColumn("centres", F.transform("c", lambda s: s["v"])).drop("c"))
+    many = F.ceil(F.col("n") / GROUP)
+    dealt = own.withColumn("g", F.pmod(F.xxhash64(F.lit(5), "rep"), many).cast("int")).drop("n", "first")
+    copies = centres.withColumn("g", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ("label", "dim", "rep", "many", "v")) + ", cell string, far double"
+    out = dealt.groupBy(*_CELL, "g").cogroup(copies.groupBy(*_CELL, "g")).applyInArrow(_nearest, schema)
+    named = centres.select("label", "dim", F.col("cell").alias("parent"), F.posexplode("centres").alias("k", "centre"))
+    return written(out), named.withColumn("cell", F.concat_ws("/", "parent", F.lpad(F.col("k").cast("string"), 4, "0"))).drop("k")
+
+
+def _cells(placed: DataFrame) -> DataFrame:
+    return written(placed.groupBy(*_CELL).agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.min("rep").alias("first")))
+
+
+def _met(classes: DataFrame, threshold: float, pairs: bool, block: int) -> DataFrame:
+    """Meetings of the last cells of ``classes`` (label, dim, v, rep, many)."""
     reach = float(np.sqrt(max(2 - 2 * threshold, 0)))
-    gaps = [(i, j, float(np.sqrt(max(2 - 2 * float(unit[i] @ unit[j]), 0)))) for own in of_dim.values() for i in own for j in own] + [(-1, -1, 0.0)]
-    gap = classes.sparkSession.createDataFrame(gaps, "pivot int, pivot2 int, gap double")
-    meet = each.withColumnRenamed("block", "one").join(other, ["label", "dim"]).where("one <= two")
-    meet = meet.join(F.broadcast(gap), ["pivot", "pivot2"]).where(F.col("gap") <= F.col("radius") + F.col("radius2") + reach + 1e-7)  # at most PIVOTS squared rows
-    meet = written(meet.select("label", "dim", "one", "two"))
+    placed = classes.withColumn("cell", F.lit("")).withColumn("far", F.lit(2.0))
+    alive = _cells(placed).withColumn("centre", F.lit(None).cast("array<double>"))
+    meet = alive.select("label", "dim", F.col("cell").alias("one"), F.col("cell").alias("two"))
+    last = []
+    for level in range(LEVELS):
+        large, small = alive.where(F.col("n") > block), alive.where(F.col("n") <= block)
+        if large.isEmpty():
+            break
+        last.append(salted_join(placed, small.select(*_CELL, "n"), _CELL, ["rep"]).drop("far", "n"))
+        placed, named = _split(placed, large.select(*_CELL, "n", "first"), block, level)
+        new = named.join(_cells(placed), _CELL)
+        # A pair goes on as the pairs of its cells' children that come near enough; a cell that is not split is its own child.
+        child = written(new.unionByName(small.withColumn("parent", F.col("cell"))))
+        alive = child.drop("parent")
+        a = child.select("label", "dim", F.col("parent").alias("one"), F.col("cell").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
+        b = child.select("label", "dim", F.col("parent").alias("two"), F.col("cell").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+        cosine = dot("ca", "cb") / F.sqrt(dot("ca", "ca") * dot("cb", "cb"))
+        near = F.coalesce(F.sqrt(F.greatest(2 - 2 * cosine, F.lit(0.0))) <= F.col("ra") + F.col("rb") + reach + 1e-6, F.lit(True))
+        meet = meet.join(a, ["label", "dim", "one"]).join(b, ["label", "dim", "two"]).where((F.col("one") < F.col("two")) | (F.col("a") <= F.col("b"))).where(near)
+        meet = written(meet.select("label", "dim", F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")))
+    final = placed.drop("far")
+    for p in last:
+        final = final.unionByName(p)
+    parts = alive.select(*_CELL, "n", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = salted_join(final, parts.drop("n"), _CELL, ["rep"]).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("parts")).cast("int")).drop("parts")
+    each = parts.select(*_CELL, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    side = lambda k: each.select("label", "dim", F.col("cell").alias(k), F.concat_ws("#", "cell", "part").alias(f"{k}_block"))
+    meet = meet.join(side("one"), ["label", "dim", "one"]).join(side("two"), ["label", "dim", "two"]).where("one < two or one_block <= two_block")
+    meet = written(meet.select("label", "dim", F.col("one_block").alias("one"), F.col("two_block").alias("two")))
+    dealt = dealt.withColumn("block", F.concat_ws("#", "cell", "part")).drop("cell", "part")
     sides = dealt.join(meet.withColumn("block", F.col("one")), ["label", "dim", "block"]).withColumn("side", F.lit(0)).unionByName(
         dealt.join(meet.where("one <> two").withColumn("block", F.col("two")), ["label", "dim", "block"]).withColumn("side", F.lit(1))
     )
-    flat = sides.select("label", "dim", F.col("one.pivot").alias("p1"), F.col("one.part").alias("q1"), F.col("two.pivot").alias("p2"), F.col("two.part").alias("q2"), "rep", "many", "v", "side")
-    flat = flat.withColumn("one", F.concat_ws("/", "p1", "q1")).withColumn("two", F.concat_ws("/", "p2", "q2"))
-    return flat.groupBy("label", "dim", "one", "two").applyInArrow(_meeting(threshold, pairs), "a bigint, b bigint, n bigint")
+    return sides.drop("block").groupBy("label", "dim", "one", "two").applyInArrow(_meeting(threshold, pairs), "a bigint, b bigint, n bigint")
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,16 +270,20 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, classes
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Exact pairs (a, b), a < b, of class representatives of equal label at or above ``threshold``."""
-    found = _met(_classes(vectors)[1], threshold, True)
+def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Exact pairs (a, b), a < b, of class representatives of equal label at or above ``threshold``.
+
+    All of them: a dense group of n classes gives about n²/2 rows.  Links and
+    components of such groups are what :func:`near_vectors` is for.
+    """
+    found = _met(_classes(vectors)[1], threshold, True, block)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     valid, classes = _classes(vectors)
-    met = written(_met(classes, threshold, False))
+    met = written(_met(classes, threshold, False, block))
     links = met.where("a = b and n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     member = written(salted_join(valid, classes, ["label", "dim", "v"], ["vec_id"]).select("vec_id", "rep", "many"))
     edges = met.where("a <> b").select("a", "b").union(member.where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))

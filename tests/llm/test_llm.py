@@ -324,6 +324,27 @@ def test_hyperminhash_estimates():
         assert minhash.estimated(minhash.registers(a), minhash.registers(b)) == pytest.approx(share, abs=0.12)
 
 
+@pytest.mark.parametrize("block", [12, 10_000])
+def test_embeddings_like_brute_force(spark, block):
+    """Cells split over several levels, dense groups and many copies of one vector, against all pairs."""
+    rng = np.random.default_rng(block)
+    centres = rng.normal(size=(6, 8))
+    x = centres[rng.integers(0, 6, 260)] + rng.normal(scale=0.3, size=(260, 8))
+    x = np.round(np.concatenate([x, np.repeat(centres[:1], 90, axis=0)]), 3)
+    label = np.concatenate([rng.integers(0, 2, 260), np.zeros(90, int)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    smallest = np.arange(len(x))
+    while True:
+        new = np.minimum(smallest, np.where(near, smallest[None, :], len(x)).min(axis=1))
+        if (new == smallest).all():
+            break
+        smallest = new
+    df = spark.createDataFrame([(k, v.tolist(), int(y)) for k, (v, y) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_vectors(df, block=block).collect()}
+    assert got == {k: (int(near[k].sum()), int(smallest[k])) for k in range(len(x))}
+
+
 def test_embeddings_on_odd_vectors(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one, 1), (2, [2.0, 4.0, 6.0], 1), (3, one, 2), (4, one, None), (5, None, 1), (6, [0.0] * 3, 1), (7, [float("nan"), 1.0, 1.0], 1), (8, [None, 1.0, 1.0], 1), (9, one, 1), (9, one, 1), (10, [1.0, 2.0], 1), (11, [-1.0, -2.0, -3.0], 1), (12, [], 1)]
