@@ -8,8 +8,11 @@ outside fold 0: of each language up to as many distinct texts as share
 language is learned however rare it is.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
-and where no label was learned; repeated rows get equal results; a null id is
-never held out and never learned from.  Other columns are carried along.
+and where no label was learned; texts of any length are walked whole, a group of
+texts at a time; repeated rows get equal results; of classes that tie the first
+by name is predicted; a null id is never held out and never learned from; an
+empty table gives no rows.  Other columns are carried along; those named
+``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations

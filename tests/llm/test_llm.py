@@ -189,6 +189,32 @@ def test_language(spark, documents):
     assert (held["lang"] == held["lang_pred"]).mean() > 0.9 and got["score"].between(0, 1).all()
 
 
+def test_language_like_a_plain_walk(spark, documents):
+    """Scores of the batched network against one byte at a time, gates written out."""
+    names, net = langid.fit_languages(documents)
+    texts = ["Hello World, this is a text", "é 日本 x", prose(5, 90), "a"]
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.predict_languages(spark.createDataFrame([(t,) for t in texts], "text string"), names, net).collect()}
+    w, h, sig = {k: v.astype(float) for k, v in net.w.items()}, net.hidden, lambda v: 1 / (1 + math.exp(-v))
+    for text in texts:
+        data, total = text.lower().encode(), np.zeros(len(names))
+        for first in range(0, len(data), langid.SEGMENT):
+            part = data[first : first + langid.SEGMENT]
+            states = {}
+            for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+                s = [0.0] * h
+                for t in order:
+                    byte = part[t]
+                    gate = [sig(w[f"{d}_xg"][byte][k] + sum(s[i] * w[f"{d}_ug"][i][k] for i in range(h))) for k in range(2 * h)]
+                    new = [math.tanh(w[f"{d}_xn"][byte][k] + gate[k] * sum(s[i] * w[f"{d}_un"][i][k] for i in range(h))) for k in range(h)]
+                    s = [new[k] + gate[h + k] * (s[k] - new[k]) for k in range(h)]
+                    states[d, t] = s
+            for t in range(len(part)):
+                logit = np.array(states["f", t]) @ w["f_o"] + np.array(states["b", t]) @ w["b_o"] + w["o"]
+                total += np.exp(logit) / np.exp(logit).sum()
+        share = total / total.sum()
+        assert got[text][0] == names[int(share.argmax())] and got[text][1] == pytest.approx(share.max(), abs=1e-4)
+
+
 def test_language_samples_every_language_and_copies_once(spark):
     rows = [(k, f"plain text number {k}", "en") for k in range(3_000)] + [(k, "the very same text", "en") for k in range(3_000, 5_000)]
     rows += [(k, f"harvinainen kieli {k}", "fi") for k in range(5_000, 5_010)]
@@ -425,6 +451,43 @@ def test_toxicity_on_planted_words(spark):
     assert ((held["score"] >= 0.5) == (held["doc_id"] % 4 == 0)).mean() > 0.97
 
 
+def test_toxicity_without_both_classes(spark):
+    docs = spark.createDataFrame([(k, prose(k, 20)) for k in range(40)], "doc_id long, text string")
+    for labels, want in (([(k, 1) for k in range(40)], 1), ([(k, 0) for k in range(40)], 0), ([], 0)):
+        lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+        rows = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, lab)).collect()
+        assert {int(r["score"] >= 0.5) for r in rows} == {want} and len({r["score"] for r in rows}) == 1
+        if not labels:
+            assert rows[0]["score"] == toxicity.NO_LABELS
+
+
+def test_toxicity_like_a_plain_count(spark, documents, sf):
+    """Features and scores of whole texts against sums over tokens, one by one, and trees walked one by one."""
+    model = toxicity.fit_toxicity(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = [r["text"] for r in documents.limit(40).collect()] + ["", "You IDIOT! y0u id1ot", None]
+    got = model.score(texts)
+    for text, score in zip(texts, got.tolist()):
+        tokens = [t.decode() for t in words(text)]
+        p = np.array([model.properties(t) for t in tokens], float).reshape(-1, 15)
+        hot, you = [k for k, q in enumerate(p) if q[3] >= 2 or q[4]], [k for k, q in enumerate(p) if q[5]]
+        n = len(tokens)
+        x = np.zeros(len(toxicity.FEATURES))
+        if n:
+            near = sum(any(abs(a - b) <= 4 for b in you) for a in hot)
+            t = p.sum(axis=0)
+            x[:] = [math.log1p(n), *t[:4] / n, p[:, 3].max(), t[4] / n, t[5] / n, near / n, t[6] / max(t[7], 1), t[8] / n, t[9] / max(t[14], 1), t[10] / n, t[11] / max(t[14], 1), t[12] / n, t[13] / n, math.log1p(t[0])]
+        assert model.features([text])[0] == pytest.approx(x, rel=1e-5, abs=1e-9)
+        x = model.features([text])[0]
+        raw = model.trees.prior
+        for feature, cut, leaf in model.trees.forest:
+            node = 0
+            while 2 * node + 1 < len(feature) and feature[node] >= 0:
+                f = feature[node]
+                node = 2 * node + 1 + int(sum(c < x[f] for c in model.trees.cuts[f]) > cut[node])
+            raw += leaf[node]
+        assert score == pytest.approx(float(model.calibration(np.array([raw]))[0]) if model.calibration else 1 / (1 + math.exp(-raw)))
+
+
 def test_pii_is_consistent_distinct_and_whole(spark):
     rows = [(k, f"Mail u{k % 50}@x{k % 3}.example.com, IP 10.{k % 7}.3.{k}, card 4111 1111 1111 {1000 + k}, call (521) 555-{6000 + k} or +1 521-555-{6000 + k}. Frau Meier.") for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -629,7 +692,7 @@ def test_pipeline_stages(spark, odd, empty, tmp_path):
         assert (docs.count() > 0) == (n > 0)
 
 
-def test_pipeline_like_its_parts(spark, sf):
+def test_pipeline_like_its_parts(spark, sf, monkeypatch):
     """run() against a plain version: the model's scores, brute-force copies and windows, the surrogates' count, the tokenizer."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     df = spark.read.parquet(f"{sf}/documents.parquet")
@@ -653,8 +716,35 @@ def test_pipeline_like_its_parts(spark, sf):
                 a, b = sorted((top(x), top(y)))
                 group[b] = a
     kept = [i for i in kept if top(i) == i]
+    # What the fifth stage is given: every kept text without the windows that an earlier kept text has, entities replaced.
+    from tokenizers import Tokenizer
+
+    given = {}
+    packing_ = corpus_pipeline.STAGES[4][1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:4], ("packing", lambda s, d, at: (given.update({r["doc_id"]: r["text"] for r in d.collect()}), packing_(s, d, at))[1])])
     rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in rows} == set(kept)
+    assert {r["doc_id"] for r in rows} == set(kept) == set(given)
+    first = {}
+    for i in kept:
+        w = words(docs[i])
+        grams = [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+        keep = [True] * len(w)
+        for k, g in enumerate(grams):
+            if first.get(g, i) < i:
+                keep[k : k + 13] = [False] * 13
+        for g in grams:
+            first.setdefault(g, i)
+        text = docs[i] if all(keep) else b" ".join(x for x, ok in zip(w, keep) if ok).decode()
+        hidden = re.compile("|".join(f"(?:{p})" for k, p in pii.KINDS.items() if k != "name"))
+        assert hidden.split(text) == hidden.split(given[i]), i  # all but the entities is as it was
+        assert not set(hidden.findall(text)) & set(hidden.findall(given[i])) and len(hidden.findall(text)) == len(hidden.findall(given[i]))
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    pieces_ = {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in rows}
+    for i, text in given.items():
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            assert pieces_.pop((i, k // 4096)) == (len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes()))
+    assert not pieces_
     full = collections.Counter()
     for r in rows:
         full[r["sequence_id"]] += r["length"]
