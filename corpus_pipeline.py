@@ -4,8 +4,14 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the last return th
 columns of ``docs``.  :func:`run` writes each stage's result as Parquet in the
 shared folder and hands the reread table to the next.
 
-Defined results: a null or empty text passes every stage unchanged; rows with a
-null id are never duplicates of anything; an empty table gives an empty result.
+The near-duplicate stage takes five-word shingles and four fifths, as all stages
+on word shingles do unless told otherwise.
+
+Defined results: a null or empty text passes every stage unchanged; texts of any
+length are taken whole; rows with a null id are never duplicates of anything;
+of equal rows and of each group the smallest id stays, rows that share it with
+it; an empty table gives an empty result.  Other columns are carried to the last
+stage; names that begin with ``_fw_`` are reserved.
 """
 
 from __future__ import annotations
