@@ -75,17 +75,17 @@ HOT_SHARE = 1_000
 HOT_PARTS = 64
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """``left`` joined to ``right`` (one row a key) on ``keys``, hot keys of ``left`` dealt to several tasks.
 
     Keys are counted with partial aggregation.  The rows of a hot key are dealt
     by a hash of their ``row`` columns, and the key's one row of ``right`` is copied
     to each part.  Only the hot keys' hashes are broadcast, fewer than
     ``HOT_SHARE`` longs; a key that shares a hash with a hot one is salted too,
-    which changes nothing.
+    which changes nothing.  ``total`` spares a count where it is known.
     """
     counts = left.groupBy(F.xxhash64(*keys).alias("k")).agg(F.count("*").alias("n"))
-    total = left.count()
+    total = left.count() if total is None else total
     least = max(total // HOT_SHARE, HOT_PARTS)
     hot = [r["k"] for r in counts.where(F.col("n") > least).collect()]  # fewer than HOT_SHARE
     if not hot:

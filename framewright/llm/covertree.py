@@ -286,11 +286,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     met = written(_met(classes, threshold, False, block))
     links = met.where("a = b and n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     member = written(salted_join(valid, classes, ["label", "dim", "v"], ["vec_id"]).select("vec_id", "rep", "many"))
-    edges = met.where("a <> b").select("a", "b").union(member.where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))
-    found = components(edges)
+    # An id with unlike vectors ties their classes together; all other members follow their class.
+    both = member.groupBy("vec_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("vec_id")
+    edges = met.where("a <> b").select("a", "b").union(member.join(both, "vec_id").select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))
+    found = salted_join(member, components(edges).withColumnRenamed("node", "rep"), ["rep"], ["vec_id"], "left")
+    found = found.groupBy("vec_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     counts = salted_join(member, links, ["rep"], ["vec_id"], "left").groupBy("vec_id").agg(F.sum(F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = every.where("vec_id is not null").join(counts, "vec_id", "left").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    out = every.where("vec_id is not null").join(counts, "vec_id", "left").join(found, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     # Rows without an id have nothing to join on: they do not meet in one task.
     out = out.unionByName(every.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -220,8 +220,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     seen = written(source.mapInArrow(_profiles(size, False), "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, sketch array<bigint>"))
     some = seen.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
-    member = salted_join(some.select("doc_id", "n_shingles", "low", "high"), classes, ["n_shingles", "low", "high"], ["doc_id"]).select("doc_id", "rep")
-    same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    member = written(salted_join(some.select("doc_id", "n_shingles", "low", "high"), classes, ["n_shingles", "low", "high"], ["doc_id"]).select("doc_id", "rep"))
+    # An id with unlike texts ties its classes together; all other members follow their class.
+    both = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("doc_id")
+    same = member.join(both, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     # An id stands for its class once, however many equal rows there are.
     reps = some.join(classes.select("n_shingles", "low", "high", F.col("rep").alias("doc_id")), ["doc_id", "n_shingles", "low", "high"], "left_semi")
@@ -253,8 +255,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = written(_links(rest, profiles, percent))
     everything = links.select("a", "b").union(more).union(same)
-    final = components(everything)
-    out = seen.where("doc_id is not null").select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    final = salted_join(member, components(everything).withColumnRenamed("node", "rep"), ["rep"], ["doc_id"], "left")
+    final = final.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    out = seen.where("doc_id is not null").select("doc_id", "n_shingles").join(final, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     # Rows without an id have nothing to join on: they do not meet in one task.
     out = out.unionByName(seen.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
