@@ -40,10 +40,9 @@ def label_of(path: Column) -> Column:
 
 def subject_of(path: Column) -> Column:
     """Nearest directory with a number from 1 to 60 that is no fold; else sub<number> in the name."""
-    parts = F.split(path, "/")
-    dirs = F.reverse(F.slice(parts, 1, F.size(parts) - 1))
-    numbers = F.transform(F.filter(dirs, lambda d: ~F.lower(d).contains("fold")), lambda d: F.regexp_extract(d, r"(\d+)", 1).try_cast("bigint"))
-    near = F.get(F.filter(numbers, lambda v: v.between(1, FOLDS * SUBJECTS_PER_FOLD)), 0)
+    # The first number of every directory whose name does not hold "fold", in one pass over the path.
+    numbers = F.regexp_extract_all(path, F.lit(r"(?:^|(?<=/))(?![^/]*(?i:fold)[^/]*/)[^/\d]*(\d+)[^/]*/"), F.lit(1))
+    near = F.try_element_at(F.filter(numbers, lambda v: v.try_cast("bigint").between(1, FOLDS * SUBJECTS_PER_FOLD)), F.lit(-1)).try_cast("bigint")
     named = F.regexp_extract(_stem(path), r"sub(?:ject)?[_-]?(\d+)", 1).try_cast("bigint")
     return F.coalesce(near, named).cast("int")
 
@@ -60,7 +59,8 @@ def parse_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     ``warnings`` flags a subject that only the name gives and that is out of range.
     """
     p = F.col(path)
-    out = paths.select(p.alias("video_path"), label_of(p).alias("label"), subject_of(p).alias("subject_id"))
+    # A generator of one row: label and subject are worked out once, not again in every later expression.
+    out = paths.select(F.inline(F.array(F.struct(p.alias("video_path"), label_of(p).alias("label"), subject_of(p).alias("subject_id")))))
     out = out.where("label is not null and subject_id is not null")
     return out.select(
         "label", "subject_id", fold_of(F.col("video_path"), F.col("subject_id")).alias("fold_id"), "video_path",
@@ -69,6 +69,13 @@ def parse_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+def video_status(videos: DataFrame, frames: DataFrame, length: int, key: str = "video_id") -> DataFrame:
+    """``videos`` with ``status``: processed, short (fewer than ``length`` frames) or skipped (none: no label, not opened, failed)."""
+    n = frames.groupBy(key).agg(F.count("*").alias("n_frames"))
+    out = videos.join(n, key, "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0)))
+    return out.withColumn("status", F.when(F.col("n_frames") == 0, "skipped").when(F.col("n_frames") < length, "short").otherwise("processed"))
+
+
 def with_fold(df: DataFrame, folds: DataFrame, subject: str = "subject_id") -> DataFrame:
     """Subject to fold as a range join with the five-row table of folds."""
     return df.join(F.broadcast(folds), F.col(subject).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")

@@ -21,6 +21,13 @@ def confusion(pred: DataFrame, by: list[str] | None = None, classes: int = CLASS
     return grid.join(counts, [*by, "y_true", "y_pred"], "left").select(*by, "y_true", "y_pred", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
+def aligned(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """Truth and prediction joined by key; ``side`` says where a row is: both, truth or prediction."""
+    out = truth.withColumn("_t", F.lit(True)).join(pred.withColumn("_p", F.lit(True)), keys, "full")
+    side = F.when(F.col("_t") & F.col("_p"), "both").when(F.col("_t"), "truth").otherwise("prediction")
+    return out.withColumn("side", side).drop("_t", "_p")
+
+
 def confusion_matrix(pred: DataFrame, classes: int = CLASSES) -> DataFrame:
     """One row a true class, one column a predicted class."""
     table = confusion(pred, classes=classes)

@@ -14,12 +14,21 @@ def next_folds(df: DataFrame, fold: str = "fold_id") -> DataFrame:
     return distinct.select(fold, following.alias("next_fold"))
 
 
+def circular_fold(fold: Column, folds: int = 5) -> Column:
+    """The next fold of a full set, the first after the last, whether present or not."""
+    return fold % folds + 1
+
+
 def split_column(test_fold: int, val_fold: int, fold: str = "fold_id") -> Column:
     return F.when(F.col(fold) == test_fold, "test").when(F.col(fold) == val_fold, "val").otherwise("train")
 
 
 def fold_split(df: DataFrame, test_fold: int, val_fold: int | None = None, classes: int = 3, fold: str = "fold_id", label: str = "label") -> DataFrame:
-    """``df`` with a ``split`` column; raises where a split could not be evaluated."""
+    """``df`` with a ``split`` column; raises where a split could not be evaluated.
+
+    The check runs at once: one row a fold reaches the driver.  Where the folds
+    are known, :func:`split_column` alone is lazy.
+    """
     present = {r[0]: r[1] for r in df.groupBy(fold).agg(F.sort_array(F.collect_set(label))).collect()}  # one row a fold
     folds = sorted(present)
     if not 1 <= test_fold <= 5:

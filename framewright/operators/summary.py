@@ -37,6 +37,26 @@ def benchmark_rows(summaries: DataFrame) -> DataFrame:
     ).orderBy("model", "feature_subset")
 
 
+def as_percent(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Score columns in percent: a column whose largest value is above 0 and at most 1 is a share.  Times are never rescaled."""
+    tops = rows.agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    share = lambda c: (F.col(f"_{c}") > 0) & (F.col(f"_{c}") <= 1)
+    out = rows.join(F.broadcast(tops))  # one row
+    return out.select(*[F.when(share(c), 100 * F.col(c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def has_latency(rows: DataFrame) -> bool:
+    """Whether a latency chart has anything to show."""
+    return not rows.where("mean_latency_ms > 0").isEmpty()
+
+
+def console_table(rows: DataFrame) -> str:
+    """The comparison table as aligned text; models times subsets rows."""
+    cells = [rows.columns, *[["" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows.orderBy("model", "feature_subset").collect()]]
+    width = [max(len(r[k]) for r in cells) for k in range(len(rows.columns))]
+    return "\n".join("  ".join(v.rjust(w) for v, w in zip(r, width)) for r in cells) + "\n"
+
+
 def pivot_metric(rows: DataFrame, metric: str, subsets: list[str]) -> DataFrame:
     """Models by subsets; a model and subset that occur twice are an error, absent ones null."""
     cell = F.when(F.count(metric) > 1, F.raise_error(F.lit("a model and subset occur twice"))).otherwise(F.first(metric))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import schema
-from framewright.functions.headpose import head_pose
-from framewright.functions.scalar import arg_max, eye_aspect_ratio, mouth_aspect_ratio, one_hot, pixel
+from framewright.functions.headpose import MODEL, head_pose
+from framewright.functions.scalar import LEFT_EYE, MOUTH, RIGHT_EYE, arg_max, eye_aspect_ratio, landmark_ratios, mouth_aspect_ratio, one_hot, pixel
 from framewright.operators import catalog, metrics, models, scale, split, summary, validate
 from framewright.operators import frames as fr
 from framewright.operators import windows as wi
@@ -196,9 +196,11 @@ def constant_features(spark, sf_dir):
     return r.select(*[(F.col(f"{c}_min") == F.col(f"{c}_max")).alias(c) for c in FEATURES])
 
 
-@query(f"WITH {_FRAMES} SELECT count(*) AS frames, sum(CASE WHEN isnan(ear) OR isinf(ear) OR isnan(mar) OR isinf(mar) THEN 1 ELSE 0 END)::BIGINT AS bad FROM frames")
+@query(f"WITH {_FRAMES} SELECT count(*) AS frames, sum(CASE WHEN {' OR '.join(f'isnan({c}) OR isinf({c})' for c in FEATURES)} THEN 1 ELSE 0 END)::BIGINT AS bad FROM frames")
 def finite_check(spark, sf_dir):
-    bad = ~fr.is_finite(F.col("ear")) | ~fr.is_finite(F.col("mar"))
+    bad = F.lit(False)
+    for c in FEATURES:
+        bad = bad | ~fr.is_finite(F.col(c))
     return views.frames(spark, sf_dir).agg(F.count("*").alias("frames"), F.sum(bad.cast("long")).alias("bad"))
 
 
@@ -232,10 +234,38 @@ def split_assign(spark, sf_dir):
     return split.fold_split(views.frames(spark, sf_dir), 4).groupBy("split", "label").agg(F.count("*").alias("frames"), F.count_distinct("subject_id").alias("subjects"))
 
 
-@query(f"WITH {_FRAMES} SELECT subject_id FROM frames WHERE fold_id = 1 INTERSECT SELECT subject_id FROM frames WHERE fold_id = 2")
+@query(f"WITH {_FRAMES} SELECT subject_id FROM frames WHERE label = 0 AND frame_idx < 3 AND fold_id < 4 INTERSECT SELECT subject_id FROM frames WHERE label = 1 AND fold_id > 1")
 def split_overlap(spark, sf_dir):
+    """Subjects that two overlapping splits share."""
     f = views.frames(spark, sf_dir)
-    return split.overlap(f.where("fold_id = 1"), f.where("fold_id = 2"))
+    return split.overlap(f.where("label = 0 and frame_idx < 3 and fold_id < 4"), f.where("label = 1 and fold_id > 1"))
+
+
+@query(f"WITH {_FRAMES} SELECT DISTINCT fold_id, fold_id % 5 + 1 AS val_fold FROM frames")
+def circular_folds(spark, sf_dir):
+    return views.frames(spark, sf_dir).select("fold_id").distinct().withColumn("val_fold", split.circular_fold(F.col("fold_id")))
+
+
+@query(f"""WITH {_FRAMES}, {_WIN}, one AS (SELECT * FROM win WHERE t = 0)
+  SELECT count(*) AS num_samples, count(DISTINCT subject_id) AS num_subjects, {', '.join(f'sum(CASE WHEN label = {k} THEN 1 ELSE 0 END)::BIGINT AS class_{k}' for k in range(3))},
+  {', '.join(f'sum(CASE WHEN fold_id = {k} THEN 1 ELSE 0 END)::BIGINT AS fold_{k}' for k in range(1, 6))},
+  (SELECT round(avg(CASE WHEN {_PAD} THEN 1.0 ELSE 0 END), 6) FROM win) AS padding_rate, (SELECT avg(CASE WHEN {_PAD} THEN 1.0 ELSE 0 END) > 0.2 FROM win) AS warned FROM one""")
+def validation_summary(spark, sf_dir):
+    """The integrity check's summary as one row."""
+    s = validate.check(_mult(spark, sf_dir), length=T)
+    row = {"num_samples": s["num_samples"], "num_subjects": s["num_subjects"], **{f"class_{k}": v for k, v in s["class_counts"].items()}, **{f"fold_{k}": v for k, v in s["fold_counts"].items()}}
+    schema_ = ", ".join(f"{k} long" for k in row) + ", padding_rate double, warned boolean"
+    return spark.createDataFrame([(*row.values(), round(s["padding_rate"], 6), bool(s["warnings"]))], schema_)
+
+
+@query(f"""WITH {_FRAMES}, v AS (SELECT DISTINCT video_id FROM frames UNION SELECT 'none-' || c_custkey FROM customer), n AS (SELECT video_id, count(*) AS n FROM frames WHERE frame_idx < subject_id GROUP BY video_id)
+  SELECT CASE WHEN n IS NULL THEN 'skipped' WHEN n < 10 THEN 'short' ELSE 'processed' END AS status, count(*) AS videos FROM v LEFT JOIN n USING (video_id) GROUP BY ALL""")
+def run_counters(spark, sf_dir):
+    """Processed, short and skipped videos of a run."""
+    f = views.frames(spark, sf_dir)
+    lost = views.table(spark, sf_dir, "customer").select(F.concat(F.lit("none-"), F.col("c_custkey")).alias("video_id"))
+    status = catalog.video_status(f.select("video_id").distinct().union(lost), f.where("frame_idx < subject_id"), T)
+    return status.groupBy("status").agg(F.count("*").alias("videos"))
 
 
 @query("SELECT o_orderstatus AS label, CASE WHEN k < 0.8 THEN 'train' WHEN k < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM (SELECT o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) / count(*) OVER (PARTITION BY o_orderstatus) AS k FROM orders) GROUP BY ALL")
@@ -279,6 +309,22 @@ def argmax_pred(spark, sf_dir):
     return p.select("vec_id", "y_true", arg_max(F.col("probability")).alias("y_pred"), *[_r(F.get("probability", k)).alias(f"p{k}") for k in range(3)])
 
 
+@query(f"WITH {_PRED}, p AS (SELECT vec_id, y_pred FROM pr WHERE vec_id % 7 <> 0 UNION ALL SELECT -1 - vec_id, y_pred FROM pr WHERE vec_id % 50 = 0) SELECT vec_id, coalesce(pr.y_true, -1) AS y_true, coalesce(p.y_pred, -1) AS y_pred, CASE WHEN pr.y_true IS NOT NULL AND p.y_pred IS NOT NULL THEN 'both' WHEN p.y_pred IS NULL THEN 'truth' ELSE 'prediction' END AS side FROM pr FULL JOIN p USING (vec_id)")
+def prediction_alignment(spark, sf_dir):
+    """Truth and predictions joined by key, with the rows that lack the other side."""
+    all_ = views.predictions(spark, sf_dir)
+    pred = all_.where("vec_id % 7 <> 0").select("vec_id", "y_pred").union(all_.where("vec_id % 50 = 0").select(-1 - F.col("vec_id"), "y_pred"))
+    both = metrics.aligned(all_.select("vec_id", "y_true"), pred, ["vec_id"])
+    return both.select("vec_id", F.coalesce("y_true", F.lit(-1)).alias("y_true"), F.coalesce("y_pred", F.lit(-1)).alias("y_pred"), "side")
+
+
+@query("SELECT o_orderkey, round(CASE WHEN n > 0 THEN s / n * 1000 ELSE 0 END, 6) AS inference_latency_ms, round(CASE WHEN s > 0 THEN n / s ELSE 0 END, 6) AS inference_throughput_fps FROM (SELECT o_orderkey, o_totalprice / 1000 AS s, o_custkey % 5 AS n FROM orders)")
+def inference_latency(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("s"), (F.col("o_custkey") % 5).alias("n"))
+    out = summary.latency(o, "s", "n")
+    return out.select("o_orderkey", _r("inference_latency_ms").alias("inference_latency_ms"), _r("inference_throughput_fps").alias("inference_throughput_fps"))
+
+
 @query(f"WITH {_PRED} SELECT y_true, {', '.join(f'sum(CASE WHEN y_pred = {k} THEN 1 ELSE 0 END)::BIGINT AS pred_{k}' for k in range(3))} FROM pr GROUP BY y_true")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(views.predictions(spark, sf_dir))
@@ -368,6 +414,13 @@ def markdown_rows(spark, sf_dir):
     return summary.markdown_rows(_bench(spark, sf_dir), schema.subsets(spark))
 
 
+@query(f"WITH {_FOLDS}, b AS (SELECT model, feature_subset, ma, mf * 90 AS mf FROM cv) SELECT model, feature_subset, round(CASE WHEN (SELECT max(ma) FROM b) <= 1 THEN 100 * ma ELSE ma END, 6) AS accuracy, round(CASE WHEN (SELECT max(mf) FROM b) <= 1 THEN 100 * mf ELSE mf END, 6) AS f1 FROM b")
+def percent_rule(spark, sf_dir):
+    """Shares become percent, percent stays."""
+    cv = summary.cv_summary(_results(spark, sf_dir)).select("model", "feature_subset", F.col("mean_accuracy").alias("accuracy"), (90 * F.col("mean_f1_macro")).alias("f1"))
+    return summary.as_percent(cv, ["accuracy", "f1"]).select("model", "feature_subset", _r("accuracy").alias("accuracy"), _r("f1").alias("f1"))
+
+
 @query(f"WITH {_FOLDS}, b AS (SELECT upper(model) AS model, feature_subset, ma, mf FROM cv) SELECT model, feature_subset, 'mean_accuracy' AS metric, round(100 * ma, 6) AS value, '%' AS unit FROM b UNION ALL SELECT model, feature_subset, 'mean_latency_ms', 0.0, 'ms' FROM b")
 def bar_chart(spark, sf_dir):
     return summary.bar_chart_data(_bench(spark, sf_dir), ["mean_accuracy", "mean_latency_ms"]).withColumn("value", _r("value"))
@@ -428,10 +481,40 @@ def pixel_coordinates(spark, sf_dir):
     return views.landmarks(spark, sf_dir).select("vec_id", pixel(F.get("points", 0), 640, 480).alias("p")).select("vec_id", "p.*")
 
 
-@query()
+@query("SELECT vec_id, CAST(165 + vec_id % 10 AS DOUBLE) AS pitch, CAST(vec_id * 7 % 21 - 10 AS DOUBLE) AS yaw, CAST(vec_id * 11 % 31 - 15 AS DOUBLE) AS roll FROM embeddings")
 def head_pose_angles(spark, sf_dir):
-    pts = F.transform(F.slice("points", 1, 6), lambda p: F.struct((320 + 100 * p["x"]).alias("x"), (240 + 100 * p["y"]).alias("y")))
-    return views.landmarks(spark, sf_dir).select("vec_id", head_pose(pts, 640, 480).alias("p")).select("vec_id", "p.*")
+    """The angles that the six model points were turned by before they were projected, found again from their pixels."""
+    e = views.table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    a, b, c = F.radians(165 + v % 10), F.radians(v * 7 % 21 - 10), F.radians(v * 11 % 31 - 15)
+    ca, sa, cb, sb, cc, sc = F.cos(a), F.sin(a), F.cos(b), F.sin(b), F.cos(c), F.sin(c)
+    turn = [[cc * cb, cc * sb * sa - sc * ca, cc * sb * ca + sc * sa], [sc * cb, sc * sb * sa + cc * ca, sc * sb * ca - cc * sa], [-sb, cb * sa, cb * ca]]
+    move = [v % 50 - 25, v % 30 - 15, 2000 + v % 500]
+    points = []
+    for m in MODEL.tolist():
+        x, y, z = (sum((r[k] * m[k] for k in range(3)), t) for r, t in zip(turn, move))
+        points.append(F.struct((640 * x / z + 320).alias("x"), (640 * y / z + 240).alias("y")))
+    found = e.select("vec_id", head_pose(F.array(*points), 640, 480).alias("p"))
+    return found.select("vec_id", *[_r(f"p.{n}", 3).alias(n) for n in ("pitch", "yaw", "roll")])
+
+
+_PX = lambda i: (f"CAST(trunc(CAST(e[{2 * (i % 32) + 1}] AS DOUBLE) * 640) AS INT)", f"CAST(trunc(CAST(e[{2 * (i % 32) + 2}] AS DOUBLE) * 480) AS INT)")
+_DX = lambda i, j: f"sqrt(power({_PX(i)[0]} - {_PX(j)[0]}, 2) + power({_PX(i)[1]} - {_PX(j)[1]}, 2))"
+
+
+def _ratio_sql(up: list[tuple[int, int]], across: tuple[int, int]) -> str:
+    return f"(CASE WHEN {_DX(*across)} = 0 THEN 0 ELSE ({' + '.join(_DX(*u) for u in up)}) / (2 * {_DX(*across)}) END)"
+
+
+_EYE = lambda p: _ratio_sql([(p[1], p[5]), (p[2], p[4])], (p[0], p[3]))
+
+
+@query(f"WITH {_LM} SELECT vec_id, round(({_EYE(LEFT_EYE)} + {_EYE(RIGHT_EYE)}) / 2, 6) AS ear, round({_ratio_sql([(MOUTH[1], MOUTH[7]), (MOUTH[2], MOUTH[6]), (MOUTH[3], MOUTH[5])], (MOUTH[0], MOUTH[4]))}, 6) AS mar FROM lm")
+def frame_features(spark, sf_dir):
+    """Whole-frame ratios from 478 landmarks in whole pixels: both eyes' mean and the mouth."""
+    face = F.transform(F.sequence(F.lit(0), F.lit(477)), lambda i: F.get("points", i % 32))
+    ear, mar = landmark_ratios(F.col("face"), 640, 480)
+    return views.landmarks(spark, sf_dir).select("vec_id", face.alias("face")).select("vec_id", _r(ear).alias("ear"), _r(mar).alias("mar"))
 
 
 @query("SELECT o_custkey % 60 + 1 AS subject_id, CAST((o_custkey % 60) // 12 + 1 AS INT) AS fold_id, count(*) AS n FROM orders GROUP BY ALL")

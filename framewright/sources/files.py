@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +57,12 @@ def read_archive(spark: SparkSession, path: str, rows: int = 1024) -> DataFrame:
 
 
 def write_archive(windows: DataFrame, path: str) -> None:
-    """The same archive, written by the driver from windows in key order, streamed partition by partition."""
+    """The same archive, written by the driver, which holds all of it: for data of one machine.  Parquet is the form for more."""
     import numpy as np
 
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    rows = list(windows.select("x", "label", "fold_id", "subject_id").toLocalIterator())
+    order = [c for c in ("video_id", "window_id") if c in windows.columns]
+    rows = windows.orderBy(*order).select("x", "label", "fold_id", "subject_id").collect()
     np.savez_compressed(
         path, X=np.array([r["x"] for r in rows], np.float32), y=np.array([r["label"] for r in rows], np.int32),
         folds=np.array([r["fold_id"] for r in rows], np.int32), subjects=np.array([r["subject_id"] for r in rows], np.int32),
@@ -68,13 +70,32 @@ def write_archive(windows: DataFrame, path: str) -> None:
 
 
 def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*_cv_summary.json`` of a folder; files that are no JSON are left out."""
+    """All ``*_cv_summary.json`` of a folder; files that are no JSON are left out with a warning that names them."""
     found = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{folder}/*_cv_summary.json")
     if "_corrupt_record" in found.columns:
-        found = found.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        named = found.select("*", F.col("_metadata.file_name").alias("_name")).cache()  # a folder of summaries; Spark asks for it to read the corrupt column alone
+        bad = [r["_name"] for r in named.where(F.col("_corrupt_record").isNotNull()).select("_name").distinct().collect()]  # one row a bad file of a folder of summaries
+        if bad:
+            warnings.warn(f"no JSON, left out: {sorted(bad)}", stacklevel=2)
+        found = named.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_name")
     return found
 
 
+def read_summary(path: str) -> dict:
+    """One summary that :func:`write_summary` wrote."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def write_text(text: str, path: str) -> None:
+    """A report (Markdown, console table) as a file."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
 def write_summary(summary: dict, path: str) -> None:
     """One summary as JSON, indented, not escaped."""
     import json

@@ -6,6 +6,7 @@ None; both are made on the executor, once a task, by the factories given.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +16,10 @@ from framewright.schema import FEATURES, FRAME, SENTINEL
 
 
 def extract(videos: DataFrame, decoder: Callable, detector: Callable, skip: int = 5, max_frames: int | None = None) -> DataFrame:
-    """Frames of each video of (video_id, video_path); a video that does not open gives none."""
+    """Frames of each video of (video_id, video_path); a video that does not open or whose decoding fails gives none.
+
+    ``catalog.video_status`` counts those; the reason is in the executor's log.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decode, detect = decoder(), detector()
@@ -23,12 +27,16 @@ def extract(videos: DataFrame, decoder: Callable, detector: Callable, skip: int
             for part in parts:
                 for video, path in zip(part["video_id"], part["video_path"]):
                     rows: list[tuple] = []
-                    for raw, frame in enumerate(decode(path)):
-                        if raw % skip:
-                            continue
-                        if max_frames and max_frames > 0 and len(rows) >= max_frames:
-                            break
-                        rows.append((video, len(rows), *(detect(frame) or SENTINEL)))
+                    try:
+                        for raw, frame in enumerate(decode(path)):
+                            if raw % skip:
+                                continue
+                            if max_frames and max_frames > 0 and len(rows) >= max_frames:
+                                break
+                            rows.append((video, len(rows), *(detect(frame) or SENTINEL)))
+                    except Exception:  # one bad video must not end the job
+                        logging.getLogger(__name__).exception("%s is skipped", path)
+                        rows = []
                     yield pd.DataFrame(rows, columns=["video_id", "frame_idx", *FEATURES])
         finally:
             for tool in (decode, detect):

@@ -79,6 +79,35 @@ def test_not_finite_and_labels(spark):
         validate.check(frames)
 
 
+def test_summary_counts_windows(spark):
+    got = validate.check(dataset(spark))
+    assert got["num_samples"] == 24 and got["class_counts"] == {0: 8, 1: 8, 2: 8} and got["fold_counts"] == {1: 6, 2: 6, 3: 6, 4: 6, 5: 0}
+
+
+@pytest.mark.parametrize("column", ["label", "subject_id", "fold_id"])
+def test_missing_ids(spark, column):
+    frames = dataset(spark).withColumn(column, F.when(F.col("video_id") != "v1-0", F.col(column)))
+    with pytest.raises(ValueError, match=f"frames without ids.*{column}"):
+        validate.check(frames)
+
+
+def test_leaks_are_counted_in_full(spark):
+    frames = dataset(spark, per=30).withColumn("subject_id", F.split("video_id", "-")[1].cast("int") + 1)
+    with pytest.raises(ValueError, match="30 subjects in multiple folds, the first: .1, 2,"):
+        validate.check(frames)
+
+
+def test_padding_limits(spark):
+    frames = dataset(spark)
+    for c, v in zip(FEATURES, schema.SENTINEL):
+        frames = frames.withColumn(c, F.when(F.col("frame_idx") < 18, F.lit(v).cast("float")).otherwise(F.col(c)))
+    assert any("padding" in w for w in validate.check(frames)["warnings"])
+    with pytest.raises(ValueError, match="above the limit"):
+        validate.check(frames, max_padding_rate=0.5)
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        validate.check(frames, max_padding_rate=1.5)
+
+
 def test_empty_dataset(spark):
     with pytest.raises(ValueError, match="no samples"):
         validate.check(dataset(spark).where("false"))
@@ -110,7 +139,11 @@ def test_formats(spark, tmp_path):
 def test_summaries(spark, tmp_path):
     files.write_summary({"model": "lstm", "feature_subset": "ear", "mean_accuracy": 0.5, "num_folds_evaluated": 5}, str(tmp_path / "lstm_ear_cv_summary.json"))
     (tmp_path / "bad_cv_summary.json").write_text("{not json")
-    rows = summary.benchmark_rows(files.read_summaries(spark, f"file://{tmp_path}"))
+    with pytest.warns(UserWarning, match="bad_cv_summary"):
+        rows = summary.benchmark_rows(files.read_summaries(spark, f"file://{tmp_path}"))
+    assert files.read_summary(str(tmp_path / "lstm_ear_cv_summary.json"))["num_folds_evaluated"] == 5
+    files.write_text(summary.console_table(rows), str(tmp_path / "out/table.txt"))
+    assert "LSTM" in (tmp_path / "out/table.txt").read_text() and not summary.has_latency(rows)
     row = rows.first()
     assert row["model"] == "LSTM" and row["mean_accuracy"] == 50.0 and row["mean_latency_ms"] == 0.0
     text = summary.markdown_table(rows, schema.subsets(spark))
@@ -173,6 +206,10 @@ def test_extract_with_adapters(spark):
     detect = lambda: lambda frame: None if frame == 5 else (0.2, 0.4, 1.0, 2.0, float(frame))
     rows = video.extract(videos, decode, detect).orderBy("frame_idx").collect()
     assert [(r["video_id"], r["frame_idx"], r["roll"]) for r in rows] == [("a", 0, 0.0), ("a", 1, 0.0), ("a", 2, 10.0)]
+    broken = lambda: lambda path: iter(range(int(path[2:]))) if path != "p:0" else (_ for _ in ()).throw(OSError("broken"))
+    frames = video.extract(videos, broken, detect)
+    status = {r["video_id"]: r["status"] for r in catalog.video_status(videos, frames, 3).collect()}
+    assert status == {"a": "processed", "b": "skipped"}
 
 
 def test_streaming_windows(spark, sf, tmp_path):
