@@ -1,7 +1,8 @@
-"""Model registry.  Trainers take a frame of (features vector, label) and return a fitted transformer.
+"""Model registry of MLlib.  Trainers take a frame of (features vector, label) and return a fitted transformer.
 
-Deep networks and boosted trees of outside libraries plug in through
-:func:`register`.  What runs without them are MLlib stand-ins, named as such.
+The networks and boosted trees themselves are in ``nets`` and ``boosting`` and run
+through ``training``.  Here other libraries' estimators plug in through
+:func:`register`, and MLlib stand-ins, named as such, are fitted on all rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, Callable] = {}
-#: Names that need an outside library, and the stand-in that runs here.
+#: Names that no MLlib estimator has, and the stand-in that is fitted on all rows.
 STAND_INS = {"xgboost": "random_forest", "bilstm": "mlp", "lstm": "mlp", "bigru": "mlp", "cnn1d": "mlp", "transformer": "mlp"}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewright import schema
 from framewright.functions.headpose import MODEL, head_pose
 from framewright.functions.scalar import LEFT_EYE, MOUTH, RIGHT_EYE, arg_max, eye_aspect_ratio, landmark_ratios, mouth_aspect_ratio, one_hot, pixel
-from framewright.operators import catalog, metrics, models, scale, split, summary, validate
+from framewright.operators import catalog, metrics, models, scale, split, summary, training, validate
 from framewright.operators import frames as fr
 from framewright.operators import windows as wi
 from framewright.plans import views
@@ -542,7 +542,40 @@ def experiment_grid(spark, sf_dir):
     return summary.grid(m, schema.subsets(spark), schema.folds(spark))
 
 
-# Models and streams: no SQL
+# Models: no SQL
+
+_TRAINED = "model string, feature_subset string, fold int, accuracy double, f1_macro double, precision_macro double, recall_macro double, log_loss double, epochs int, test_samples long"
+
+
+def _trained(name: str, **options):
+    def run(spark, sf_dir):
+        result, _, _ = training.train_fold(views.frames(spark, sf_dir), name, 4, length=T, step=STEP, **options)
+        return spark.createDataFrame([tuple(result[c.split()[0]] for c in _TRAINED.split(", "))], _TRAINED)
+
+    run.__name__ = f"train_{name}"
+    run.__doc__ = f"{name} trained on folds 1 to 3, stopped on fold 5, tested on all windows of fold 4."
+    return run
+
+
+for _name in ("bilstm", "lstm", "bigru", "cnn1d", "transformer"):
+    query()(_trained(_name, epochs=3))
+query()(_trained("xgboost", trees=30))
+
+
+@query()
+def learning_curves(spark, sf_dir):
+    """The boosted trees' losses by round, as long data."""
+    _, history, _ = training.train_fold(views.frames(spark, sf_dir), "xgboost", 4, length=T, step=STEP, trees=10)
+    return summary.learning_curve_data(spark.createDataFrame(history))
+
+
+@query()
+def model_importance(spark, sf_dir):
+    """The 20 inputs with the largest shares of the boosted trees' gains."""
+    _, _, model = training.train_fold(views.frames(spark, sf_dir), "xgboost", 4, length=T, step=STEP, trees=10)
+    names = [f"{c}_{t}" for t in range(T) for c in FEATURES]
+    return summary.top_importance(spark.createDataFrame(list(zip(names, map(float, model.importances()))), "feature string, importance double"))
+
 
 @query()
 def random_forest_metrics(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright import schema
 from framewright.functions import headpose
-from framewright.operators import catalog, metrics, models, scale, split, summary, validate
+from framewright.operators import boosting, catalog, metrics, models, nets, scale, split, summary, training, validate
 from framewright.operators import windows as wi
 from framewright.plans import views
 from framewright.schema import FEATURES
@@ -200,6 +200,52 @@ def test_model_registry(spark, sf):
     assert models.importances(model, [f"f{k}" for k in range(50)], spark).count() == 50
 
 
+@pytest.mark.parametrize("name", ["lstm", "bilstm", "bigru", "cnn1d", "transformer"])
+def test_network_gradients_like_finite_differences(name):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(6, 9, 5)), rng.integers(0, 3, 6)
+    net = nets.Network(name, 9, 5, dtype=np.float64)
+    for layer in net.layers:
+        for one in (layer, *getattr(layer, "inner", ())):
+            if isinstance(one, nets.Dropout):
+                one.share = 0.0
+    net.loss_and_gradients(x, y)
+    for layer, grads in zip(net.layers, [dict(v.grads) for v in net.layers]):
+        for key, grad in grads.items():
+            flat, at = layer.params[key].reshape(-1), int(np.abs(grad).reshape(-1).argmax())
+            old, losses = flat[at], []
+            for move in (1e-5, -1e-5):
+                flat[at] = old + move
+                losses.append(net.loss_and_gradients(x, y))
+            flat[at] = old
+            assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(grad.reshape(-1)[at], rel=1e-4, abs=1e-8), key
+
+
+def _separable(spark, folds=5, per=6, steps=16):
+    rng = np.random.default_rng(1)
+    rows = [(f"v{f}-{k}", i, *(float(v) for v in rng.normal(0, 0.4, 5) + (k % 3) * np.array([1, -1, 0.5, 0, 0])), k % 3, f, f) for f in range(1, folds + 1) for k in range(per) for i in range(steps)]
+    return spark.createDataFrame(rows, "video_id string, frame_idx int, ear float, mar float, pitch float, yaw float, roll float, label int, subject_id int, fold_id int")
+
+
+@pytest.mark.parametrize("name", ["bilstm", "lstm", "bigru", "cnn1d", "transformer", "xgboost"])
+def test_training_learns_and_reloads(spark, tmp_path, name):
+    frames = _separable(spark).cache()
+    options = {"trees": 20} if name == "xgboost" else {"epochs": 25}
+    result, history, model = training.train_fold(frames, name, 2, length=8, folder=str(tmp_path), **options)
+    assert result["accuracy"] > 0.8 and result["test_samples"] == 6 * 9 and sum(map(sum, result["confusion_matrix"])) == 54
+    assert len(history) == result["epochs"] and history[-1]["val_loss"] < history[0]["val_loss"]
+    x = np.random.default_rng(0).normal(size=(5, 8, 5)).astype(np.float32)
+    assert np.allclose(training.load(result["checkpoint_path"]).probabilities(x), model.probabilities(x), atol=1e-6)
+
+
+def test_trees_stop_early():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(200, 4)), rng.integers(0, 3, 200)
+    model = boosting.SoftmaxTrees(trees=200, rate=0.5).fit(x, y, rng.normal(size=(100, 4)), rng.integers(0, 3, 100))
+    best = min(range(len(model.history)), key=lambda k: model.history[k]["val_loss"])
+    assert len(model.history) < 200 and len(model.forest) == best + 1 and model.importances().sum() == pytest.approx(1)
+
+
 def test_extract_with_adapters(spark):
     videos = spark.createDataFrame([("a", "p:12"), ("b", "p:0")], "video_id string, video_path string")
     decode = lambda: lambda path: iter(range(int(path[2:])))
