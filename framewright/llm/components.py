@@ -2,10 +2,10 @@
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014).  Every step groups by node with
-partial aggregation and joins the minimum back, a hub's links dealt to several
-tasks, so neither a hub nor a large component is ever gathered in one task; each
-round is written to the shared folder, which cuts the lineage and outlives lost
-executors.
+partial aggregation and joins the minimum back, so no component is gathered in
+one task; a hub's links (pairs of longs) meet in one partition of that join until
+it passes the session's skew threshold, where Spark splits it.  Each round is
+written to the shared folder, which cuts the lineage and outlives lost executors.
 """
 
 from __future__ import annotations
@@ -13,18 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import forget, salted_join, written
+from framewright.llm.common import forget, written
 
 
-def _large(edges: DataFrame, total: int) -> DataFrame:
+def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return salted_join(both.where("b > a"), least, ["a"], ["b"], total=total).select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
 
-def _small(edges: DataFrame, total: int) -> DataFrame:
+def _small(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    joined = salted_join(edges, least, ["b"], ["a"], total=total).select("a", "b", "m")
+    joined = edges.join(least, "b").select("a", "b", "m")
     moved = joined.select(F.col("m").alias("x"), F.col("a").alias("y")).union(joined.select(F.col("m").alias("x"), F.col("b").alias("y")))
     return moved.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
@@ -46,10 +46,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     )
     before = _state(edges)
     for _ in range(rounds):
-        wide = written(_large(edges, before[0]))
-        forget(edges)
-        edges = written(_small(wide, before[0]))
-        forget(wide)
+        last, edges = edges, written(_small(_large(edges)))
+        forget(last)
         after = _state(edges)
         if after == before:
             break
