@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import small_batches, table
 from framewright.llm.fmindex import FMIndex
-from framewright.llm.wordhash import groups, hashes, mix
+from framewright.llm.wordhash import groups, hashes, mix, mix_in_place
 
 WINDOW = 13
 ANCHOR_WORDS = 3
@@ -49,7 +49,7 @@ HOT = 512
 #: Bytes of text whose windows are found together.
 BATCH_BYTES = 8_000_000
 #: Windows that search the index together.
-SEARCH_ROWS = 200_000
+SEARCH_ROWS = 50_000
 
 
 class Batch:
@@ -64,14 +64,17 @@ class Batch:
         flat = flat.filter(pa.array(keep))
         self.n_words = n = len(flat)
         self.ids = np.asarray(pc.fill_null(ids, 0))
-        self.row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
         self.first_word = offsets
+        del lists, keep, texts
         one = flat.dictionary_encode()
         h = mix(hashes(one.dictionary.cast(pa.large_binary()).to_pylist()))[one.indices.to_numpy()] if n else np.zeros(0, np.uint64)
         self.h = h
+        del one
         spaced = pc.binary_join_element_wise(flat, pa.scalar("", flat.type), pa.scalar(" ", flat.type))
         self.at = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + n + 1] if n else np.zeros(1, np.int64)
         self.data = memoryview(spaced.buffers()[2]) if n else memoryview(b"")
+        del flat
         if n < window:
             self.start = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
@@ -80,7 +83,9 @@ class Batch:
             m = n - ANCHOR_WORDS + 1
             gram = np.zeros(m, np.uint64)
             for k in range(ANCHOR_WORDS):
-                gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m])
+                gram *= np.uint64(0x9E3779B97F4A7C15)
+                gram += h[k : k + m]
+                mix_in_place(gram)
         # Least over the runs of a window, by doubling.
         span, least = window - ANCHOR_WORDS + 1, gram
         reach = 1
@@ -98,8 +103,10 @@ class Batch:
         if not len(s):
             return s, s, self.anchor
         is_hot = np.isin(self.anchor, hot) if len(hot) else np.zeros(len(s), bool)
+        row = self.row[s]
         new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1] + 1) | (self.anchor[1:] != self.anchor[:-1]) | (self.row[s[1:]] != self.row[s[:-1]]) | is_hot[1:] | is_hot[:-1]
+        new[1:] = (np.diff(s) != 1) | (self.anchor[1:] != self.anchor[:-1]) | (row[1:] != row[:-1]) | is_hot[1:] | is_hot[:-1]
+        del row
         at = np.flatnonzero(new)
         key = self.anchor[at].copy()
         if is_hot.any():
@@ -112,59 +119,66 @@ class Batch:
         return s[at], np.diff(np.append(at, len(s))), key
 
 
-def _counted(window: int):
-    """One row a batch for its totals (key null), and one for each anchor that many of its documents hold."""
+def _each(work):
+    """Map batches by ``work(ids, texts)``; what a group of texts took is free again before the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in groups(batch.column("text"), BATCH_BYTES):
-                b = Batch(batch.column("doc_id").slice(first, len(part)), part, window)
-                start, _, key = b.segments(np.zeros(0, np.uint64), window)
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], b.row[start[order]]
-                once = np.ones(len(key), bool)
-                once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                anchors, n = np.unique(key[once], return_counts=True)
-                many = n >= max(8, len(part) / (2 * HOT))
-                keys = [None, *anchors[many].astype(np.int64).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(part), *n[many].tolist()], pa.int64()), pa.array([b.n_words] + [0] * (len(keys) - 1), pa.int64())], names=["key", "docs", "words"])
+                yield work(batch.column("doc_id").slice(first, len(part)), part)
 
     return run
 
 
+def _counted(window: int):
+    """One row a batch for its totals (key null), and one for each anchor that many of its documents hold."""
+
+    def counts(ids: pa.Array, part: pa.Array) -> pa.RecordBatch:
+        b = Batch(ids, part, window)
+        start, _, key = b.segments(np.zeros(0, np.uint64), window)
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], b.row[start[order]]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        anchors, n = np.unique(key[once], return_counts=True)
+        many = n >= max(8, len(part) / (2 * HOT))
+        keys = [None, *anchors[many].astype(np.int64).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(part), *n[many].tolist()], pa.int64()), pa.array([b.n_words] + [0] * (len(keys) - 1), pa.int64())], names=["key", "docs", "words"])
+
+    return _each(counts)
+
+
 def _dealt(window: int, shards: int, hot: np.ndarray):
     """Segments of a batch as one compressed row a shard; what a batch settles itself goes along."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(ids: pa.Array, part: pa.Array) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for first, part in groups(batch.column("text"), BATCH_BYTES):
-                b = Batch(batch.column("doc_id").slice(first, len(part)), part, window)
-                start, many, key = b.segments(hot, window)
-                doc, pos = b.ids[b.row[start]], start - b.first_word[b.row[start]] if len(start) else start
-                low, high = b.at[start], b.at[start + many + window - 1] if len(start) else b.at[start]
-                settled = np.zeros(len(start), bool)
-                # Equal segments of a batch: the smallest id goes on, larger ids lose those windows to it.
-                order = np.lexsort((doc, key))
-                again = np.flatnonzero(key[order][1:] == key[order][:-1])
-                seen: dict[bytes, int] = {}
-                for i in order[np.unique(np.concatenate([again, again + 1]))].tolist():
-                    text = bytes(b.data[low[i] : high[i]])
-                    if seen.setdefault(text, int(doc[i])) < doc[i]:
-                        settled[i] = True
-                shard = (key % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                found, edges = np.unique(shard[order], return_index=True)
-                names, blobs = [], []
-                for k, own in zip(found.tolist(), np.split(order, edges[1:])):
-                    go, gone = own[~settled[own]], own[settled[own]]
-                    text = b"".join([b.data[x:y] for x, y in zip(low[go].tolist(), high[go].tolist())])
-                    columns = [np.diff(doc[go], prepend=0), pos[go].astype(np.int32), many[go].astype(np.int32), (high - low)[go].astype(np.int32), (key[go] >> np.uint64(32)).astype(np.uint32), doc[gone], pos[gone], many[gone]]
-                    names.append(k)
-                    blobs.append(pack.compress(pickle.dumps((columns, text), protocol=5)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
-
-    return run
+        b = Batch(ids, part, window)
+        start, many, key = b.segments(hot, window)
+        doc, pos = b.ids[b.row[start]], start - b.first_word[b.row[start]] if len(start) else start
+        low, high = b.at[start], b.at[start + many + window - 1] if len(start) else b.at[start]
+        settled = np.zeros(len(start), bool)
+        # Equal segments of a batch: the smallest id goes on, larger ids lose those windows to it.
+        order = np.lexsort((doc, key))
+        again = np.flatnonzero(key[order][1:] == key[order][:-1])
+        seen: dict[bytes, int] = {}
+        for i in order[np.unique(np.concatenate([again, again + 1]))].tolist():
+            text = bytes(b.data[low[i] : high[i]])
+            if seen.setdefault(text, int(doc[i])) < doc[i]:
+                settled[i] = True
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        found, edges = np.unique(shard[order], return_index=True)
+        names, blobs = [], []
+        for k, own in zip(found.tolist(), np.split(order, edges[1:])):
+            go, gone = own[~settled[own]], own[settled[own]]
+            text = b"".join([b.data[x:y] for x, y in zip(low[go].tolist(), high[go].tolist())])
+            columns = [np.diff(doc[go], prepend=0), pos[go].astype(np.int32), many[go].astype(np.int32), (high - low)[go].astype(np.int32), (key[go] >> np.uint64(32)).astype(np.uint32), doc[gone], pos[gone], many[gone]]
+            names.append(k)
+            blobs.append(pack.compress(pickle.dumps((columns, text), protocol=5)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+    return _each(deal)
 
 
 def _searched(window: int):
@@ -186,8 +200,9 @@ def _searched(window: int):
         ends = np.append(groups_[1:], len(k))
         alone = d[groups_] == d[ends - 1] if len(k) else np.zeros(0, bool)
         kept = order[~np.repeat(alone, ends - groups_)]
+        texts = texts.take(pa.array(kept))
         if len(kept):
-            out += _matches(texts.take(pa.array(kept)), doc[kept], pos[kept], many[kept], window)
+            out += _matches(texts, doc[kept], pos[kept], many[kept], window)
         d, a, z = (np.concatenate([x[i] for x in out]) for i in range(3))
         return pa.table({"doc_id": pa.array(d, pa.int64()), "first": pa.array(a, pa.int64()), "stop": pa.array(z, pa.int64())})
 
@@ -196,6 +211,7 @@ def _searched(window: int):
 
 def _matches(texts: pa.Array, doc: np.ndarray, pos: np.ndarray, many: np.ndarray, window: int) -> list[tuple[np.ndarray, ...]]:
     one = texts.dictionary_encode()
+    del texts
     which = one.indices.to_numpy().astype(np.int64)
     n_texts = len(one.dictionary)
     windows = np.zeros(n_texts, np.int64)
@@ -207,6 +223,7 @@ def _matches(texts: pa.Array, doc: np.ndarray, pos: np.ndarray, many: np.ndarray
     empty = pc.index_in(pa.array([""], flat.type), words.dictionary)[0].as_py()
     codes = words.indices.to_numpy().astype(np.int64)
     symbols = np.where(codes == empty, 0, np.where(codes < empty, codes + 1, codes))
+    del one, flat, words, codes
     text_of = np.concatenate([[0], np.cumsum(symbols == 0)[:-1]])
     index = FMIndex(symbols, window)
     owners = owner[text_of[index.sa]]

@@ -21,16 +21,24 @@ except OSError:  # no GNU C library here
 
 #: Bytes of text that are coded together; one longer text stands alone.
 GROUP_BYTES = 8_000_000
+#: Longs that are mixed at a time.
+_MIX_ROWS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (the finaliser of splitmix64)."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    return mix_in_place(x.astype(np.uint64, copy=True))
+
+
+def mix_in_place(x: np.ndarray) -> np.ndarray:
+    """:func:`mix` of a contiguous uint64 array without a copy, a stretch that fits the cache after the other."""
+    for first in range(0, len(x), _MIX_ROWS):
+        part = x[first : first + _MIX_ROWS]
+        part ^= part >> np.uint64(30)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(27)
+        part *= np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
     return x
 
 
