@@ -309,14 +309,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> D
     results = [prefix + n for n in ("n_words", "n_removed", "kept_text")]
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in results])
     cuts = repeated_intervals(docs, window).groupBy(F.col("doc_id").alias("_fw_id")).agg(F.collect_list(F.struct("first", "stop")).alias("_fw_gone"))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"text": "string"}
-    small = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_squeezed, ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = [f"`{c}`" for c in docs.columns]
-    joined = small.where("doc_id is not null").join(cuts, F.col("doc_id") == F.col("_fw_id"), "left").select(*columns, "_fw_gone")
-    # Rows without an id have nothing to join on: they do not meet in one task.
-    joined = joined.unionByName(small.where("doc_id is null").select(*columns, F.lit(None).cast(joined.schema["_fw_gone"].dataType).alias("_fw_gone")))
+    squeezed = ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items())
     schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + f", `{results[0]}` bigint, `{results[1]}` bigint, `{results[2]}` string"
-    return joined.mapInArrow(lambda batches: _cut(results, batches), schema)
+    # The filters stand before the mapping, where they reach the scan.
+    small = docs.where("doc_id is not null").mapInArrow(_squeezed, squeezed)
+    joined = small.join(cuts, F.col("doc_id") == F.col("_fw_id"), "left").select(*columns, "_fw_gone")
+    # Rows without an id have nothing to join on: they do not meet in one task.  One mapping
+    # for both steps: two in a task hold two workers each, which then live on.
+    loose = docs.where("doc_id is null").select(*columns, F.lit(None).cast(joined.schema["_fw_gone"].dataType).alias("_fw_gone"))
+    cut = joined.mapInArrow(lambda batches: _cut(results, batches), schema)
+    return cut.unionByName(loose.mapInArrow(lambda batches: _cut(results, _squeezed(batches)), schema))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
