@@ -1,8 +1,9 @@
 """Count-based sliding windows over ordered streams.
 
-Two physical forms: ``windows`` builds each window's rows by one window frame
-(one shuffle by stream, sorted); ``multiplicity`` says how many windows cover a
-frame, so statistics over windows need no windows at all: no 30-fold blow-up.
+Two physical forms: ``windows`` slices each window's rows from sorted blocks of
+its stream (one shuffle by stream and block); ``multiplicity`` says how many
+windows cover a frame, so statistics over windows need no windows at all: no
+30-fold blow-up.
 """
 
 from __future__ import annotations
@@ -12,20 +13,38 @@ from pyspark.sql import functions as F
 
 from framewright.schema import FEATURES
 
+#: Window lengths in a block of a stream: more make fewer copied frames (one in ``BLOCK``), fewer make smaller tasks.
+BLOCK = 16
+
 
 def window_count(n: Column, length: int, step: int) -> Column:
     return F.when(n >= length, F.floor((n - length) / step) + 1).otherwise(0).cast("long")
 
 
 def windows(frames: DataFrame, length: int, step: int = 1, features: list[str] | None = None, key: str = "video_id", order: str = "frame_idx") -> DataFrame:
-    """Full windows: key, window_id, x (array of arrays); carried columns come from the first frame."""
+    """Full windows: key, window_id, x (array of arrays); carried columns come from the first frame.
+
+    ``order`` holds dense positions from 0, so a window's frames are known by
+    arithmetic.  A stream is cut into blocks of ``BLOCK`` lengths, each with the
+    ``length - 1`` frames that follow it: a long stream is many small tasks, an
+    array is sorted once a block, and only the windows of ``step`` are sliced.
+    """
     features = features or FEATURES
-    over = Window.partitionBy(key).orderBy(order).rowsBetween(0, length - 1)
+    size = BLOCK * length
+    i = F.col(order)
     carried = [c for c in frames.columns if c not in (*FEATURES, key, order, "is_padding")]
-    rows = frames.select(key, order, *carried, F.collect_list(F.struct(*features)).over(over).alias("w"))
-    full = rows.where((F.size("w") == length) & (F.col(order) % step == 0))
-    x = F.transform("w", lambda r: F.array(*[r[c].cast("float") for c in features]))
-    return full.select(key, F.expr(f"{order} div {step}").cast("int").alias("window_id"), *carried, x.alias("x"))
+    block = F.floor(i / size).cast("long")
+    shared = (block > 0) & (i % size < length - 1)  # also the end of the block before
+    row = F.struct(i.alias("i"), F.array(*[F.col(c).cast("float") for c in features]).alias("x"), F.struct(F.lit(0).alias("_"), *carried).alias("c"))
+    dealt = frames.select(key, row.alias("row"), F.explode(F.when(shared, F.array(block - 1, block)).otherwise(F.array(block))).alias("_block"))
+    blocks = dealt.groupBy(key, "_block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    first = F.col("_block") * size
+    start = F.ceil(first / step) * step  # of the block's first window
+    last = F.least(first + size - 1, first + F.size("rows") - length)  # no window starts later
+    parts = blocks.where(last >= start).select(key, "rows", F.col("rows.x").alias("x"), first.alias("_first"), F.explode(F.sequence(start, last, F.lit(step).cast("long"))).alias("_start"))
+    at = (F.col("_start") - F.col("_first")).cast("int")
+    own = [F.get("rows", at)["c"][c].alias(c) for c in carried]
+    return parts.select(key, F.expr(f"_start div {step}").cast("int").alias("window_id"), *own, F.slice("x", at + 1, length).alias("x"))
 
 
 def with_multiplicity(frames: DataFrame, length: int, step: int = 1, key: str = "video_id", order: str = "frame_idx") -> DataFrame:

@@ -168,6 +168,17 @@ def test_weighted_moments_equal_exploded(spark, sf, length, step):
         assert fast[f"{c}_mean"] == pytest.approx(slow[f"m{k}"], rel=1e-6) and fast[f"{c}_std"] == pytest.approx(slow[f"s{k}"], rel=1e-6)
 
 
+@pytest.mark.parametrize("step", [1, 2, 7, 50, 70])
+def test_windows_across_blocks(spark, step):
+    length, block = 3, wi.BLOCK * 3
+    sizes = [0, 1, 2, 3, block - 1, block, block + 1, block + 2, 2 * block + 1, 3 * block + 2]
+    rows = [(str(n), i, i % 5, *[float(i + k) for k in range(5)]) for n in sizes for i in range(n)]
+    frames = spark.createDataFrame(rows, "video_id string, frame_idx int, label int, " + ", ".join(f"{c} float" for c in FEATURES))
+    got = sorted((r["video_id"], r["window_id"], r["label"], r["x"]) for r in wi.windows(frames.repartition(5), length, step).collect())
+    want = sorted((str(n), i // step, i % 5, [[float(j + k) for k in range(5)] for j in range(i, i + length)]) for n in sizes for i in range(0, n - length + 1, step))
+    assert got == want
+
+
 def test_head_pose_recovers_rotations():
     rng = np.random.default_rng(0)
     v = np.stack([np.pi + rng.uniform(-0.3, 0.3, 20), rng.uniform(-0.3, 0.3, 20), rng.uniform(-0.3, 0.3, 20)], 1)
