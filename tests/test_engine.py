@@ -1,5 +1,8 @@
 """Behaviours and invariants of the sequence engine."""
 
+import pickle
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +283,29 @@ def test_streaming_windows(spark, sf, tmp_path):
     got = {(r["video_id"], r["window_id"]) for r in spark.sql("select * from stream_windows").collect()}
     want = {(r["video_id"], r["window_id"]) for r in wi.windows(frames, 10).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["lstm", "bilstm", "bigru", "cnn1d", "transformer"])
+def test_prediction_memory_does_not_grow_with_rows(name):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(600, 10, 5)).astype(np.float32), rng.integers(0, 3, 600)
+    net = nets.Network(name, 10, 5).fit(x[:64], y[:64], x[64:], y[64:], epochs=1)
+    weights = sum(v.nbytes for v in net.state().values())
+    assert len(pickle.dumps(net)) < 1.2 * weights + 100_000  # executors are sent the weights, no pass over the rows
+    peaks = []
+    for many in (1, 10):
+        rows = np.tile(x, (many, 1, 1))
+        tracemalloc.start()
+        got = net.probabilities(rows)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert got.shape == (len(rows), 3) and np.allclose(got, np.tile(got[:600], (many, 1)), atol=1e-6)
+    assert peaks[1] < 1.2 * peaks[0] + 200_000
+
+
+def test_sampled_windows_as_arrays(spark, sf):
+    w = wi.windows(views.frames(spark, sf), 10, 5).cache()
+    x, y = training.sampled(w, 50)
+    rows = w.orderBy(F.xxhash64("video_id", "window_id"), "video_id", "window_id").limit(50).collect()
+    assert x.dtype == np.float32 and np.array_equal(x, np.array([r["x"] for r in rows], np.float32)) and y.tolist() == [r["label"] for r in rows]
+    assert training.sampled(w.where("false"))[0].shape[0] == 0
