@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import small_batches, table
+from framewright.llm.common import forget, small_batches, table, written
 from framewright.llm.fmindex import FMIndex
 from framewright.llm.wordhash import groups, hashes, mix, mix_in_place
 
@@ -259,11 +259,13 @@ def _matches(texts: pa.Array, doc: np.ndarray, pos: np.ndarray, many: np.ndarray
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Word intervals [first, stop) of documents whose windows start in a document with a smaller id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    counted = source.mapInArrow(_counted(window), "key bigint, docs bigint, words bigint").groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
+    # Read twice below, so written: the pass over all texts runs once.
+    counted = written(source.mapInArrow(_counted(window), "key bigint, docs bigint, words bigint").groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")))
     total = counted.where("key is null").first()
     n_docs, n_words = (total["docs"], total["words"]) if total else (0, 0)
     # Counts of anchors add up to at most the anchors of all documents, so at most HOT times those of a mean document are hot.
     hot = np.array([r["key"] for r in counted.where(F.col("key").isNotNull() & (F.col("docs") * HOT > max(n_docs, 8 * HOT))).select("key").collect()], np.int64).astype(np.uint64)
+    forget(counted)
     shards = max(8, -(-n_words // SHARD_WORDS))
     dealt = source.mapInArrow(_dealt(window, shards, np.sort(hot)), "shard int, blob binary")
     return dealt.groupBy("shard").applyInArrow(_searched(window), "doc_id bigint, first bigint, stop bigint")

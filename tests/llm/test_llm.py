@@ -630,6 +630,25 @@ def test_odd_inputs_lm(odd, empty):
         assert all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (4, 5, 6))
 
 
+def test_substring_counts_texts_once(spark, monkeypatch):
+    seen, whole = spark.sparkContext.accumulator(0), substring._counted
+
+    def noted(window):
+        run = whole(window)
+
+        def each(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return each
+
+    monkeypatch.setattr(substring, "_counted", noted)
+    rows = [(k, prose(k % 5, 40)) for k in range(40)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_removed"] == 40 for r in got) == 35 and seen.value == 40
+
+
 def test_odd_inputs_substring(odd, empty):
     for df, n in both(odd, empty):
         rows = substring.remove_repeats(df).collect()
