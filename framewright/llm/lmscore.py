@@ -12,9 +12,8 @@ times ``end`` once, the share of ends among the training tokens, (ends + 1/2) /
 word, then pieces that continue it, then a stop; all segmentations count, by a
 forward recursion in log space.  The weights start from the vocabulary's own
 scores and are fitted to the training tokens by expected counts (forward and
-backward over the same lattice): first rounds over the words of the highest
-counts, ``FIT_WORDS`` at most, and a last one over all.  The probabilities of all
-texts add up to at most one.
+backward over the same lattice), every round over all words.  The probabilities
+of all texts add up to at most one.
 
 The words of the highest counts, ``TOP_WORDS`` at most, are looked up from a
 table; all others are joined by word, so no frequent word is a join key.  A
@@ -45,9 +44,9 @@ from framewright.llm.wordhash import coded, groups
 
 #: Words whose scores every worker holds at most.
 TOP_WORDS = 65_536
-#: Distinct words that the first rounds of fitting take at most, those of the highest counts; the last round takes all.
-FIT_WORDS = 65_536
 ROUNDS = 5
+#: Distinct words, and their bytes, that are spelt together: words of one length share the cost of a step.
+SPELL_WORDS, SPELL_BYTES = 100_000, 8_000_000
 #: Bytes from which a word's lattice is walked alone.
 LONG_WORD = 256
 #: Weight of the vocabulary's own scores against the expected counts, in pieces.
@@ -166,12 +165,24 @@ def _cut(counts: DataFrame, most: int) -> int:
     return cut
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in larger ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= SPELL_WORDS or sum(b.nbytes for b in held) >= SPELL_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _expected(speller: Speller, types: DataFrame) -> tuple[np.ndarray, float]:
     """Expected uses of each piece over the words of ``types``, ``c`` times each, one row a piece and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(len(speller.logp)), 0
-        for batch in batches:
+        for batch in _together(batches):
             c = np.asarray(batch.column("c"))
             speller.spell(batch.column("word").to_pylist(), counts, c)
             n += int(c.sum())
@@ -196,9 +207,8 @@ def fit_model(docs: DataFrame, trained: F.Column, model_path: str | None = None)
     ends = docs.agg(F.coalesce(F.sum(trained.cast("long")), F.lit(0))).first()[0]
     speller = Speller.load(model_path or default_model())
     known = counts.where("c > 0")
-    few = written(known.where(_height() >= _cut(known, FIT_WORDS)).repartition(known.sparkSession.sparkContext.defaultParallelism))
-    for k in range(ROUNDS):
-        speller.fit(*_expected(speller, few if k < ROUNDS - 1 else known))
+    for _ in range(ROUNDS):
+        speller.fit(*_expected(speller, known))
     return Model(speller, totals["n"] + ends, ends, totals["v"]), counts
 
 
@@ -206,7 +216,7 @@ def _scored(model: Model):
     """Distinct words with their base and model scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _together(batches):
             c = np.asarray(batch.column("c"))
             score = model.word(batch.column("word").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c > 0), pa.array(model.base(c)), pa.array(score)], names=["word", "known", "base", "score"])

@@ -630,6 +630,20 @@ def test_odd_inputs_lm(odd, empty):
         assert all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (4, 5, 6))
 
 
+def test_lm_score_fits_all_words_in_every_round(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9))) for _ in range(110_000)})
+    rows = [(k, " ".join(words[k::200])) for k in range(200)] + [(200, " ".join(words[:9] * 5))]
+    model, _ = lmscore.fit_model(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    want, c = lmscore.Speller.load(lmscore.default_model()), collections.Counter(w for _, t in rows for w in t.encode().split())
+    assert len(c) > 65_536
+    for _ in range(lmscore.ROUNDS):
+        uses = np.zeros(len(want.logp))
+        want.spell(list(c), uses, np.array([*c.values()], float))
+        want.fit(uses, sum(c.values()))
+    assert np.allclose(np.exp(model.speller.logp), np.exp(want.logp), rtol=1e-5, atol=1e-9) and model.speller.stop == pytest.approx(want.stop)
+
+
 def test_substring_counts_texts_once(spark, monkeypatch):
     seen, whole = spark.sparkContext.accumulator(0), substring._counted
 
