@@ -5,7 +5,9 @@ Components in MapReduce and Beyond", 2014).  Every step groups by node with
 partial aggregation and joins the minimum back, so no component is gathered in
 one task; a hub's links (pairs of longs) meet in one partition of that join until
 it passes the session's skew threshold, where Spark splits it.  Each round is
-written to the shared folder, which cuts the lineage and outlives lost executors.
+written to the shared folder, which cuts the lineage and outlives lost executors,
+in as few files as its links need: Hadoop's local file system starts processes
+for each file that it makes.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import forget, written
 
+#: Links to a file of a round, about, where that makes fewer files than the shuffle has partitions.
+FILE_LINKS = 100_000
+
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -44,9 +49,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         .select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b"))
         .distinct()
     )
-    before = _state(edges)
+    before, cores = _state(edges), edges.sparkSession.sparkContext.defaultParallelism
     for _ in range(rounds):
-        last, edges = edges, written(_small(_large(edges)))
+        last, edges = edges, written(_small(_large(edges)).coalesce(max(cores, before[0] // FILE_LINKS)))
         forget(last)
         after = _state(edges)
         if after == before:

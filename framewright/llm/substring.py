@@ -259,8 +259,8 @@ def _matches(texts: pa.Array, doc: np.ndarray, pos: np.ndarray, many: np.ndarray
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Word intervals [first, stop) of documents whose windows start in a document with a smaller id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    # Read twice below, so written: the pass over all texts runs once.
-    counted = written(source.mapInArrow(_counted(window), "key bigint, docs bigint, words bigint").groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")))
+    # Read twice below, so written, a file a core at most: the pass over all texts runs once.
+    counted = written(source.mapInArrow(_counted(window), "key bigint, docs bigint, words bigint").groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).coalesce(docs.sparkSession.sparkContext.defaultParallelism))
     total = counted.where("key is null").first()
     n_docs, n_words = (total["docs"], total["words"]) if total else (0, 0)
     # Counts of anchors add up to at most the anchors of all documents, so at most HOT times those of a mean document are hot.

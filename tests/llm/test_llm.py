@@ -644,6 +644,30 @@ def test_lm_score_fits_all_words_in_every_round(spark):
     assert np.allclose(np.exp(model.speller.logp), np.exp(want.logp), rtol=1e-5, atol=1e-9) and model.speller.stop == pytest.approx(want.stop)
 
 
+def test_component_rounds_write_few_files(spark, monkeypatch):
+    from framewright.llm import components as module
+
+    files, whole = [], module.written
+
+    def noted(df):
+        out = whole(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "written", noted)
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 3000, 1) if k % 50], "a long, b long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["node"]: r["component"] for r in module.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 50 * ((k - 1) // 50) + 1 for k in range(1, 3001)}
+    assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_substring_counts_texts_once(spark, monkeypatch):
     seen, whole = spark.sparkContext.accumulator(0), substring._counted
 
