@@ -303,6 +303,21 @@ def test_prediction_memory_does_not_grow_with_rows(name):
     assert peaks[1] < 1.2 * peaks[0] + 200_000
 
 
+@pytest.mark.parametrize("name", ["bilstm"])
+def test_fit_memory_does_not_grow_with_rows(name):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(512, 10, 5)).astype(np.float32), rng.integers(0, 3, 512)
+    peaks = []
+    for many in (1, 4):
+        rows, labels = np.tile(x, (many, 1, 1)), np.tile(y, many)
+        net = nets.Network(name, 10, 5)
+        tracemalloc.start()
+        net.fit(rows, labels, rows, labels, epochs=1)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] + 200_000  # the epoch's losses over all rows are the driver's peak
+
+
 def test_sampled_windows_as_arrays(spark, sf):
     w = wi.windows(views.frames(spark, sf), 10, 5).cache()
     x, y = training.sampled(w, 50)
