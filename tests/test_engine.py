@@ -303,7 +303,7 @@ def test_prediction_memory_does_not_grow_with_rows(name):
     assert peaks[1] < 1.2 * peaks[0] + 200_000
 
 
-@pytest.mark.parametrize("name", ["bilstm", "cnn1d"])
+@pytest.mark.parametrize("name", ["bilstm", "cnn1d", "transformer"])
 def test_fit_memory_does_not_grow_with_rows(name):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(512, 10, 5)).astype(np.float32), rng.integers(0, 3, 512)
