@@ -324,3 +324,39 @@ def test_sampled_windows_as_arrays(spark, sf):
     rows = w.orderBy(F.xxhash64("video_id", "window_id"), "video_id", "window_id").limit(50).collect()
     assert x.dtype == np.float32 and np.array_equal(x, np.array([r["x"] for r in rows], np.float32)) and y.tolist() == [r["label"] for r in rows]
     assert training.sampled(w.where("false"))[0].shape[0] == 0
+
+
+@pytest.mark.parametrize("name", ["bigru"])
+def test_fit_takes_every_window(spark, name):
+    frames = _separable(spark).cache()
+    parts = split.fold_split(wi.with_multiplicity(frames, 8), 2)
+    parts = scale.standardized(parts, scale.parameters(parts.where("split = 'train'"))).select(*parts.columns)
+    rows = wi.windows(parts.drop("mult"), 8).withColumn("hash", F.xxhash64("video_id", F.lit(0).cast("long"))).orderBy("video_id", "window_id").collect()
+    x, y = np.array([r["x"] for r in rows], np.float32), np.array([r["label"] for r in rows])
+    train, val = (np.array([r["split"] == s for r in rows]) for s in ("train", "val"))
+    assert train.sum() == 162 and val.sum() == 54
+    for options, shards in (({}, 1), ({"shard": 15}, 11)):
+        total = 0.0
+        for k in range(shards):  # a copy on all windows of each shard, then their mean
+            mine = train & np.array([r["hash"] % shards == k for r in rows])
+            one, adam, rng = nets.Network(name, 8, 5), nets.Adam(), np.random.default_rng((42, 0, k))
+            if mine.any():
+                one.reseed(rng)
+                one.epoch(x[mine], y[mine], adam, rng, 1e-3)
+                total = total + one.packed(adam) * mine.sum()
+        want = nets.Network(name, 8, 5)
+        want.unpack(total / train.sum(), nets.Adam())
+        _, history, model = training.train_fold(frames, name, 2, length=8, rows=40, epochs=1, **options)
+        for key, value in want.state().items():
+            assert np.allclose(model.state()[key], value, atol=1e-4), key
+        assert history[0]["accuracy"] == pytest.approx(want.scores(x[train], y[train])[1] / 162, abs=0.02)
+        assert history[0]["val_loss"] == pytest.approx(want.scores(x[val], y[val])[0] / 54, rel=1e-3)
+
+
+def test_dealt_blocks_hold_every_window(spark, sf):
+    parts = split.fold_split(wi.with_multiplicity(views.streams(spark, sf).withColumn("label", (F.col("frame_idx") % 3).cast("int")), 3, 2), 4).drop("mult")
+    blocks, shards = training.dealt(parts, 3, 2, FEATURES, shard=50)
+    got = sorted((k, x.tobytes(), y) for _, kinds, xs, ys in training._windows_of(iter(blocks.toArrow().to_batches()), 3, 2, 5) for k, x, y in zip(kinds.tolist(), xs, ys.tolist()) if k < 2)
+    rows = wi.windows(parts, 3, 2).where("split <> 'test'").collect()
+    assert shards > 1 and got == sorted((int(r["split"] == "val"), np.array(r["x"], np.float32).tobytes(), r["label"]) for r in rows)
+    blocks.unpersist()
