@@ -326,7 +326,7 @@ def test_sampled_windows_as_arrays(spark, sf):
     assert training.sampled(w.where("false"))[0].shape[0] == 0
 
 
-@pytest.mark.parametrize("name", ["bigru", "bilstm", "cnn1d", "lstm"])
+@pytest.mark.parametrize("name", ["bigru", "bilstm", "cnn1d", "lstm", "transformer"])
 def test_fit_takes_every_window(spark, name):
     frames = _separable(spark).cache()
     parts = split.fold_split(wi.with_multiplicity(frames, 8), 2)
